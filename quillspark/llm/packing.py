@@ -22,9 +22,8 @@ result; repeated rows are packed one by one; null doc_ids are packed like others
 from __future__ import annotations
 
 import base64
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -32,54 +31,132 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.base import materialize
 
-#: A white-space run, or white space at an end: there, a space isn't always the start of a pre-token.
-ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
-SPLIT = re.compile(r"(?<=\S) (?=\S)")
-END_OF_TEXT = "<|endoftext|>"
+END_OF_TEXT = b"<|endoftext|>"
 
 
 class ByteBpe:
-    """Token ids of the byte-level BPE in a tokenizers file, as little-endian 32-bit bytes.
+    """Token ids of the byte-level BPE in a tokenizers file, for many texts at once.
 
-    Its pre-tokens start before each lone space, so a text's ids are those of its space-separated parts, and parts are
-    remembered (up to ``memory`` of them). Texts with the special token's string go to the tokenizers library whole.
-    ranks: the same vocabulary as tiktoken ranks, used for parts where given; it is several times faster.
+    Its pre-tokens start before each space that no white space follows, so a text's ids are those of the parts between
+    such spaces. Parts recur: each block's parts are told apart by a 64-bit hash from prefix sums and only those not
+    known yet are encoded, joined into one string. ranks: the same vocabulary as tiktoken ranks, which encode faster.
+    Texts that hold the special token's string, and texts over ``block`` bytes, go to the encoder whole.
     """
 
-    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, memory: int = 150_000):
+    def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, block: int = 1 << 20, memory: int = 500_000):
+        import numpy as np
         from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.memory = memory
-        self.part = lambda text: self.whole.encode(text, add_special_tokens=False).ids
+        self.special = Tokenizer.from_file(path)
+        self.block, self.memory = block, memory
+        self.encode = lambda text: self.special.encode(text, add_special_tokens=False).ids
+        size = np.zeros(self.special.get_vocab_size(), np.int64)
         if ranks:
             import tiktoken
 
             with open(ranks, "rb") as lines:
                 table = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.part = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=table, special_tokens={}).encode_ordinary
+            self.encode = tiktoken.Encoding("parts", pat_str=pattern, mergeable_ranks=table, special_tokens={})._core_bpe.encode_ordinary
+            for token, rank in table.items():
+                size[rank] = len(token)
+        else:
+            for token, rank in self.special.get_vocab().items():
+                size[rank] = len(token)  # byte-level: a character for each byte
+        self.size = size
+        rng = np.random.default_rng(7)
+        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+        self.powers, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(block, x, np.uint64)), dtype=np.uint64) for x in (base, inverse))
+        # What may follow a space that starts a part: not white space, nor a byte that starts a white-space character.
+        self.starts = np.ones(256, bool)
+        self.starts[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
+        self.forget()
+
+    def forget(self) -> None:
+        import numpy as np
+
+        self.keys, self.first, self.count, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+
+    def batch(self, texts: Iterable[bytes]) -> Iterator[bytes]:
+        """The ids of each text as little-endian 32-bit bytes."""
+        held: list[bytes] = []
+        room = self.block
+        for text in texts:
+            if len(text) >= self.block or END_OF_TEXT in text:
+                yield from self._block(held)
+                held, room = [], self.block
+                import numpy as np
+
+                whole = self.special.encode(text.decode(), add_special_tokens=False).ids if END_OF_TEXT in text else self.encode(text.decode())
+                yield np.array(whole, "<u4").tobytes()
+                continue
+            if len(text) >= room:
+                yield from self._block(held)
+                held, room = [], self.block
+            held.append(text)
+            room -= len(text)
+        yield from self._block(held)
+
+    def _block(self, texts: list[bytes]) -> Iterator[bytes]:
+        import numpy as np
 
-    def ids(self, text: str) -> bytes:
+        if not texts:
+            return
+        raw = b"".join(texts)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        doc_starts = np.cumsum(lengths) - lengths
+        data = np.frombuffer(raw, np.uint8)
+        if not len(data):
+            yield from (b"" for _ in texts)
+            return
+        opens = np.zeros(len(data), bool)
+        opens[:-1] = (data[:-1] == 32) & self.starts[data[1:]]
+        inner = doc_starts[(doc_starts > 0) & (doc_starts < len(data))]
+        opens[inner - 1] = False  # a text's last byte is followed by nothing
+        opens[doc_starts[doc_starts < len(data)]] = True
+        at = np.flatnonzero(opens)
+        ends = np.append(at[1:], len(data))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.value[data] * self.powers[: len(data)], dtype=np.uint64)])
+        keys = (sums[ends] - sums[at]) * self.inverse[at]
+        keys ^= (ends - at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        found, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, found)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == found[known]
+        if not known.all():
+            self._learn(raw, found[~known], at[index[~known]], ends[index[~known]])
+            place = np.searchsorted(self.keys, found)
+        first, count = self.first[place][inverse], self.count[place][inverse]
+        done = np.cumsum(count)
+        ids = self.pool[np.repeat(first - (done - count), count) + np.arange(done[-1])].astype("<u4")
+        per_part = np.append(0, done)
+        from_, to = per_part[np.searchsorted(at, doc_starts)], per_part[np.searchsorted(at, doc_starts + lengths)]
+        whole = ids.tobytes()
+        if len(self.keys) > self.memory:
+            self.forget()
+        for a, b in zip(from_.tolist(), to.tolist(), strict=True):
+            yield whole[4 * a : 4 * b]
+
+    def _learn(self, raw: bytes, keys, at, ends) -> None:
         import numpy as np
 
-        if END_OF_TEXT in text:
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if not text:
-            return b""
-        parts = SPLIT.split(text) if ODD_SPACE.search(text) else text.split(" ")
-        known, out, first = self.known, [], True
-        for word in parts:
-            key = word if first else " " + word
-            first = False
-            if (got := known.get(key)) is None:
-                got = np.array(self.part(key), "<u4").tobytes()
-                if len(key) < 64:
-                    if len(known) >= self.memory:
-                        known.clear()
-                    known[key] = got
-            out.append(got)
-        return b"".join(out)
+        spaced = np.frombuffer(raw, np.uint8)[at] == 32
+        parts = [raw[a:b] for a, b in zip(at[spaced].tolist(), ends[spaced].tolist(), strict=True)]
+        ids = np.array(self.encode(b"".join(parts).decode()), np.uint32)
+        reach = np.append(0, np.cumsum(self.size[ids]))
+        bound = np.searchsorted(reach, np.append(0, np.cumsum([len(p) for p in parts])))
+        assert len(parts) == 0 or reach[-1] == sum(map(len, parts))
+        others = [np.array(self.encode(raw[a:b].decode()), np.uint32) for a, b in zip(at[~spaced].tolist(), ends[~spaced].tolist(), strict=True)]
+        sizes = np.array([len(x) for x in others], np.int64)
+        first = np.empty(len(keys), np.int64)
+        count = np.empty(len(keys), np.int64)
+        first[spaced], count[spaced] = bound[:-1], np.diff(bound)
+        first[~spaced], count[~spaced] = len(ids) + np.cumsum(sizes) - sizes, sizes
+        first += len(self.pool)
+        self.pool = np.concatenate([self.pool, ids, *others])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.first, self.count = keys[order], np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
 
 
 def tokenized(docs: DataFrame, capacity: int = 1024, end_id: int = 2, paths: tuple[str, str | None, str | None] | None = None, with_ids: bool = False) -> DataFrame:
@@ -94,8 +171,9 @@ def tokenized(docs: DataFrame, capacity: int = 1024, end_id: int = 2, paths: tup
         out: list[list] = [[], [], [], [], [], []]
         held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = coder.ids(text.as_py() or "") + end
+            texts = ((t.as_py() or "").encode() for t in batch.column(1))
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.batch(texts), strict=True):
+                ids += end
                 n = len(ids) // 4
                 start, piece = 0, 0
                 length = n % capacity or min(n, capacity)
