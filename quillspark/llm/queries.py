@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import base, mixing, packing
+from quillspark.llm import base, jaccard, mixing, packing
 from quillspark.llm.base import table
 
 
@@ -16,6 +16,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ FROM queued q LEFT JOIN taken t ON q.skey = t.skey AND q.upto = t.upto
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
+    "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,
 }
 ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL}
