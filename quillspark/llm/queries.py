@@ -7,10 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import base, jaccard, mixing, packing
+from quillspark.llm import base, jaccard, mixing, packing, toxicity
 from quillspark.llm.base import table
 
 
+def held_out(modulus: int, remainder: int):
+    """Whether crc32(doc_id as text) leaves this remainder; a null doc_id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus == remainder
+
+
+def labelled(spark: SparkSession, sf_dir: str, column: str, modulus: int, remainder: int) -> DataFrame:
+    """doc_id and label of the rows to learn from; of several labels for a doc_id the largest."""
+    labels = table(spark, sf_dir, "labels").filter(F.col(column).isin(0, 1) & F.col("doc_id").isNotNull()).filter(~held_out(modulus, remainder))
+    return labels.groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
+
+
+def toxic_lexicon(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+    return toxicity.learn(table(spark, sf_dir, "documents"), labelled(spark, sf_dir, "toxic", 5, 0))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = toxicity.score(F.col("text"), toxic_lexicon(spark, sf_dir))
+    scored = table(spark, sf_dir, "documents").select("doc_id", held_out(5, 0).alias("held_out"), score.alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -52,6 +73,7 @@ FROM queued q LEFT JOIN taken t ON q.skey = t.skey AND q.upto = t.upto
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,
