@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import base, jaccard, mixing, packing, toxicity
+from quillspark.llm import base, jaccard, mixing, packing, suffix_dedup, toxicity
 from quillspark.llm.base import table
 
 
@@ -32,6 +32,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, cut = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = docs.select("doc_id", cut.alias("cut"))
+    return found.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -74,6 +80,7 @@ FROM queued q LEFT JOIN taken t ON q.skey = t.skey AND q.upto = t.upto
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,
