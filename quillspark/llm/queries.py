@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import base, jaccard, mixing, packing, suffix_dedup, toxicity
+from quillspark.llm import base, chat, jaccard, mixing, packing, suffix_dedup, toxicity
 from quillspark.llm.base import table
 
 
@@ -51,6 +51,33 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+#: The conversation that op10 adds: its texts are made of the template's own marks.
+TRAP = "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.expand(turns.unionByName(spark.sql(TRAP))))
+
+
+OP10_SQL = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, t, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r)),
+placed AS (
+  SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY conv_id) AS n,
+         length(text) + len(regexp_extract_all(text, '\\|</?s>|<</?SYS>>|<\||\[/?INST\]'))
+         + CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 ELSE 14 + length(url_encode(role)) END AS chars
+  FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS LAST, role, text)),
+summed AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY place) AS upto FROM placed)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       coalesce(sum(upto) FILTER (WHERE role = 'assistant' OR place = n), 0)::BIGINT AS formatted_chars,
+       (count(*) FILTER (WHERE role = 'assistant' OR place = n))::BIGINT AS n_examples
+FROM summed GROUP BY conv_id
+"""
+
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS skey, md5(coalesce(doc_id::VARCHAR, '')) AS key,
@@ -84,8 +111,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,
+    "op10_chat": op10_chat,
 }
-ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL}
+ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_chat": OP10_SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
