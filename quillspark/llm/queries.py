@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import base, chat, jaccard, mixing, packing, suffix_dedup, toxicity
+from quillspark.llm import base, chat, jaccard, langid, mixing, packing, suffix_dedup, toxicity
 from quillspark.llm.base import table
 
 
@@ -51,6 +51,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    parser = langid.learn(docs.filter(~held_out(5, 0)))
+    return langid.predict(docs, parser).withColumn("held_out", held_out(5, 0)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 #: The conversation that op10 adds: its texts are made of the template's own marks.
 TRAP = "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
 
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,
+    "op9_langid": op9_langid,
     "op10_chat": op10_chat,
 }
 ORACLE: dict[str, str] = {"op6_mixing": OP6_SQL, "op10_chat": OP10_SQL}
