@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import base, chat, jaccard, langid, mixing, packing, suffix_dedup, toxicity
+from quillspark.llm import base, chat, fingerprints, jaccard, langid, mixing, packing, suffix_dedup, toxicity
 from quillspark.llm.base import table
 
 
@@ -38,6 +38,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -114,6 +118,7 @@ FROM queued q LEFT JOIN taken t ON q.skey = t.skey AND q.upto = t.upto
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_fingerprints": op4_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_jaccard": op7_jaccard,
     "op8_packing": op8_packing,
