@@ -25,6 +25,7 @@ document (a string at the same start is not an earlier one, and spans of one row
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -198,7 +199,7 @@ def deep_shallow(strings: list[bytes], words: int = 4, small: int = 12) -> tuple
     return np.array(order, np.int64), lcp
 
 
-def mark_repeats(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, before: np.ndarray, anchor: np.ndarray, text: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+def mark_repeats(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, before: np.ndarray, text: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, start) of the windows that equal an earlier one among these segments."""
     marked_doc, marked_start = [], []
     order = np.lexsort((start, doc))
@@ -212,9 +213,9 @@ def mark_repeats(doc: np.ndarray, start: np.ndarray, windows: np.ndarray, before
         elif seen[at] != (doc[k], start[k]):  # a repeated row is no repeat
             marked_doc.append(np.full(windows[k], doc[k]))
             marked_start.append(start[k] + np.arange(windows[k]))
-    first = np.array(first, np.int64)
-    _, inverse, count = np.unique(anchor[first], return_inverse=True, return_counts=True)
-    first = first[count[inverse] > 1]  # in order of (doc, start)
+    grams = [text[k][before[k] : before[k] + GRAM] for k in first]
+    number = Counter(grams)
+    first = np.array([k for k, gram in zip(first, grams, strict=True) if number[gram] > 1], np.int64)
     if len(first):
         rank_after, lcp_after = _ranks([text[k][before[k] :] for k in first.tolist()])
         rank_before, lcp_before = _ranks([text[k][: before[k]][::-1] for k in first.tolist()])
@@ -257,8 +258,8 @@ def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([-1] * len(edges), pa.int32()), pa.array(owner[edges] if len(edges) else [], pa.int64()), pa.array(packed, pa.binary())], ["bucket", "id", "packed"])
 
 
-def repeated_runs(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataFrame:
-    """docs (id, text; id not null) -> (id, runs): for each document with repeats, arrays of packed (start, end) byte pairs."""
+def repeated_runs(docs: DataFrame, text: str = "text", length: int = 100, hot: int = 2000) -> DataFrame:
+    """docs (with _id, not null) -> (_id, _runs): for each document with repeats, arrays of packed (start, end) byte pairs."""
     spark = docs.sparkSession
     parts = 2 * shuffle_partitions(spark)
     buckets = 8 * parts
@@ -273,7 +274,7 @@ def repeated_runs(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataFr
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
-        pack = zstandard.ZstdCompressor(level=1)
+        pack = zstandard.ZstdCompressor(level=3)
         held: list[tuple] = []
         size = 0
 
@@ -283,37 +284,36 @@ def repeated_runs(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataFr
             again: list[tuple] = []
             by_bucket: dict[int, list] = {}
             for x in held:
-                doc, start, windows, before, anchor, text, alone = x
+                doc, start, windows, before, text, alone = x
                 if (was := seen.setdefault((before, text), (doc, start))) != (doc, start):
                     again.append((doc, start, windows))
                     continue
-                key = int.from_bytes(hashlib.blake2b(text, digest_size=8).digest(), "little") if alone else anchor & ((1 << 64) - 1)
-                by_bucket.setdefault((key >> 17) % buckets, []).append(x)
+                own = text if alone else text[before : before + GRAM]
+                by_bucket.setdefault(int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little") % buckets, []).append(x)
             if again:
                 owner = np.repeat([x[0] for x in again], [x[2] for x in again])
                 yield _runs(owner, np.concatenate([x[1] + np.arange(x[2]) for x in again]), length)
             names, ids, blobs = [], [], []
             for bucket, xs in by_bucket.items():
-                numbers = np.array([x[:5] for x in xs], np.int64)
+                numbers = np.array([x[:4] for x in xs], np.int64).T
                 names.append(bucket)
                 ids.append(None)
-                blobs.append(pack.compress(np.int64(len(xs)).tobytes() + numbers.tobytes() + b"".join(x[5] for x in xs)))
+                blobs.append(pack.compress(np.int64(len(xs)).tobytes() + numbers.tobytes() + b"".join(x[4] for x in xs)))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "id", "packed"])
 
         for batch in batches:
             for doc, text, segments in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                 raw = (text.as_py() or "").encode()
-                fields = segments.values
-                for anchor, at, n in zip(*(fields.field(k).to_pylist() for k in range(3)), strict=True):
-                    start, windows, before = at >> 16, at >> 8 & 255, at & 255
+                for at in segments.as_py():
+                    start, windows, before = at >> 17, at >> 9 & 255, at >> 1 & 255
                     if start + windows + length - 1 > len(raw):
                         continue  # another row with this id
-                    if n > hot:
+                    if at & 1:
                         for k in range(windows):
-                            held.append((doc, start + k, 1, before - k, anchor, raw[start + k : start + k + length], True))
+                            held.append((doc, start + k, 1, before - k, raw[start + k : start + k + length], True))
                             size += length
                     else:
-                        held.append((doc, start, windows, before, anchor, raw[start : start + windows + length - 1], False))
+                        held.append((doc, start, windows, before, raw[start : start + windows + length - 1], False))
                         size += windows + length
                 if size > 8 << 20:
                     yield from packed()
@@ -332,12 +332,11 @@ def repeated_runs(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataFr
             for blob in held:
                 raw = unpack.decompress(blob)
                 n = int(np.frombuffer(raw, np.int64, 1)[0])
-                rows = np.frombuffer(raw, np.int64, 5 * n, 8).reshape(n, 5)
-                ends = 8 + 40 * n + np.cumsum(rows[:, 2] + length - 1)
-                texts += [raw[a:b] for a, b in zip(np.append(8 + 40 * n, ends[:-1]).tolist(), ends.tolist(), strict=True)]
+                rows = np.frombuffer(raw, np.int64, 4 * n, 8).reshape(4, n)
+                ends = 8 + 32 * n + np.cumsum(rows[2] + length - 1)
+                texts += [raw[a:b] for a, b in zip(np.append(8 + 32 * n, ends[:-1]).tolist(), ends.tolist(), strict=True)]
                 numbers.append(rows)
-            rows = np.concatenate(numbers)
-            return _runs(*mark_repeats(*rows.T, texts, length), length)
+            return _runs(*mark_repeats(*np.concatenate(numbers, 1), texts, length), length)
 
         for batch in batches:
             runs = batch.filter(pa.compute.equal(batch.column(0), -1))
@@ -354,18 +353,19 @@ def repeated_runs(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataFr
         if held:
             yield marked()
 
-    every = docs.mapInArrow(anchors, "anchor long, id long, at long")
+    every = docs.select("_id", F.col(text).cast("string")).mapInArrow(anchors, "anchor long, _id long, at long")
     repeated = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    segments = every.join(repeated, "anchor").groupBy("id").agg(F.collect_list(F.struct("anchor", "at", "n")).alias("segments"))
+    at = F.shiftleft("at", 1) + F.when(F.col("n") > hot, 1).otherwise(0)
+    segments = every.join(repeated, "anchor").select("_id", at.alias("at")).groupBy("_id").agg(F.collect_list("at").alias("_segments"))
     schema = "bucket int, id long, packed binary"
-    sent = docs.join(segments, "id").select("id", "text", "segments").mapInArrow(cut, schema)
+    # All columns are read, so that this join and that of without_repeats share one exchange of the documents.
+    sent = docs.join(segments, "_id").select("_id", F.col(text).cast("string"), "_segments", F.struct(*[c for c in docs.columns if c != text]).alias("_rest")).mapInArrow(cut, schema)
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("id"), F.lit(buckets)))
     sorted_ = sent.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(sort, schema)
-    return sorted_.groupBy("id").agg(F.collect_list("packed").alias("runs"))
+    return sorted_.groupBy(F.col("id").alias("_id")).agg(F.collect_list("packed").alias("_runs"))
 
 
-@F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept binary")
-def _cut_out(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
+def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     out = []
     for text, packed in zip(texts, runs, strict=True):
         raw = (text or "").encode()
@@ -388,9 +388,17 @@ def _cut_out(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
 
+_cut_out = F.pandas_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+@F.pandas_udf("string")
+def kept_text(texts: pd.Series, runs: pd.Series) -> pd.Series:
+    """The text that is left; bytes of characters that a cut went through are dropped, and a text without runs stays as it is."""
+    cut = _cut(texts, runs)
+    return pd.Series([t if not n else k.decode("utf-8", "ignore") for t, n, k in zip(texts, cut["n_removed"], cut["kept"], strict=True)], dtype=object)
+
+
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100) -> tuple[DataFrame, Column]:
     """docs with the columns ``_id`` and ``_runs``, and the column expression of a struct (n_bytes, n_removed, n_spans, kept)."""
     keyed = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)))
-    slim = keyed.select(F.col("_id").alias("id"), F.col(text).cast("string").alias("text"))
-    runs = repeated_runs(slim, length).select(F.col("id").alias("_id"), F.col("runs").alias("_runs"))
-    return keyed.join(runs, "_id", "left"), _cut_out(F.col(text).cast("string"), F.col("_runs"))
+    return keyed.join(repeated_runs(keyed, text, length), "_id", "left"), _cut_out(F.col(text).cast("string"), F.col("_runs"))
