@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import base, chat, fingerprints, jaccard, langid, mixing, packing, suffix_dedup, toxicity
+from quillspark.llm import base, chat, fingerprints, jaccard, langid, mixing, packing, quality, suffix_dedup, toxicity
 from quillspark.llm.base import table
 
 
@@ -32,6 +32,12 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = quality.score(F.col("text"), quality.learn(docs, labelled(spark, sf_dir, "quality", 4, 2)))
+    return docs.select("doc_id", held_out(4, 2).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, cut = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     found = docs.select("doc_id", cut.alias("cut"))
@@ -117,6 +123,7 @@ FROM queued q LEFT JOIN taken t ON q.skey = t.skey AND q.upto = t.upto
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op6_mixing": op6_mixing,
