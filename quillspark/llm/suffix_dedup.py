@@ -262,7 +262,7 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = 100, hot: i
     """docs (with _id, not null) -> (_id, _runs): for each document with repeats, arrays of packed (start, end) byte pairs."""
     spark = docs.sparkSession
     parts = 2 * shuffle_partitions(spark)
-    buckets = 8 * parts
+    buckets = parts
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors(length)
