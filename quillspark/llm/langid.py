@@ -125,14 +125,14 @@ class CrossParser:
         fresh = self.table.reshape(-1, width)[self.starts].astype(np.int64)  # after the first symbol of a phrase
         fresh = np.where(fresh >= 0, fresh, self.starts[:, None])
         state = np.repeat(self.starts.astype(np.int64)[:, None], len(sizes), 1)
-        count = np.ones((n, len(sizes)), np.int32)
+        count = np.zeros((n, len(sizes)), np.int32)
         active = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # lanes longer than t
         for t in range(len(grid)):
             m = active[t]
             symbols = grid[t, :m]
             after = self.table.take(state[:, :m] * width + symbols).astype(np.int64)
-            missing = after < 0
-            count[:, :m] += missing
+            missing = after < 0  # a phrase ends, and the next starts with this symbol
+            count[:, :m] += missing | (state[:, :m] == self.starts[:, None])
             state[:, :m] = np.where(missing, fresh[:, symbols], after)
         return count
 

@@ -246,7 +246,10 @@ def best_fit_rounds(runs: dict[int, int], capacity: int) -> tuple[list[tuple[int
         gaps = {gap: spans for gap, spans in gaps.items() if gap >= smallest}  # the rest are closed
         if left and not progress:
             size = max(left)
-            n = left.pop(size)
+            n = -(-left[size] // (capacity // size))  # as many as these pieces alone would fill
+            left[size] -= n
+            if not left[size]:
+                del left[size]
             table.append((size, taken[size], taken[size] + n, sequences, 0))
             taken[size] += n
             if capacity > size:

@@ -388,14 +388,20 @@ def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept"])
 
 
-_cut_out = F.pandas_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept binary")
+def _cut_out(text: Column, runs: Column) -> Column:
+    """A struct (n_bytes, n_removed, n_spans, kept)."""
+    return F.pandas_udf(_cut, "n_bytes long, n_removed long, n_spans long, kept binary")(text, runs)
 
 
-@F.pandas_udf("string")
-def kept_text(texts: pd.Series, runs: pd.Series) -> pd.Series:
+def kept_text(text: Column, runs: Column) -> Column:
     """The text that is left; bytes of characters that a cut went through are dropped, and a text without runs stays as it is."""
-    cut = _cut(texts, runs)
-    return pd.Series([t if not n else k.decode("utf-8", "ignore") for t, n, k in zip(texts, cut["n_removed"], cut["kept"], strict=True)], dtype=object)
+
+    @F.pandas_udf("string")
+    def left(texts: pd.Series, runs: pd.Series) -> pd.Series:
+        cut = _cut(texts, runs)
+        return pd.Series([t if not n else k.decode("utf-8", "ignore") for t, n, k in zip(texts, cut["n_removed"], cut["kept"], strict=True)], dtype=object)
+
+    return left(text, runs)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100) -> tuple[DataFrame, Column]:
