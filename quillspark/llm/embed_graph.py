@@ -183,7 +183,7 @@ def _shards(classes: DataFrame, overlap: int, shard_rows: int, fit_rows: int) ->
     """(shard, shards, rep, weight, v): each class in each of its shards."""
     spark = classes.sparkSession
     total = classes.count()
-    k = -(-total // max(1, shard_rows // 2))
+    k = -(-2 * total * overlap // max(1, shard_rows)) if total > shard_rows else 1  # shards of half that size on average
     sample = classes.orderBy(F.xxhash64("rep")).limit(min(total, fit_rows)).select("v").toPandas()["v"] if k > 1 else []
     widths = {len(v) for v in sample}
     centres = {w: fit_centres(np.frombuffer(b"".join(v for v in sample if len(v) == w), np.float64).reshape(-1, w // 8), min(k, fit_rows // 8)) for w in widths}
