@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.base import shuffle_partitions
+from quillspark.llm.base import materialize, shuffle_partitions
 from quillspark.llm.shingles import blocks, mixed
 
 GRAM = 32
@@ -354,7 +354,8 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = 100, hot: i
             yield marked()
 
     every = docs.select("_id", F.col(text).cast("string")).mapInArrow(anchors, "anchor long, _id long, at long")
-    repeated = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Written out, so that the join reads both sides from exchanges and AQE can split a key that very many segments hold.
+    repeated = materialize(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     at = F.shiftleft("at", 1) + F.when(F.col("n") > hot, 1).otherwise(0)
     segments = every.join(repeated, "anchor").select("_id", at.alias("at")).groupBy("_id").agg(F.collect_list("at").alias("_segments"))
     schema = "bucket int, id long, packed binary"
