@@ -9,8 +9,10 @@
    aggregate) and go back to its shards, where edges are followed both ways.
 4. In each of its shards a vector is searched for: a greedy search from the shard's medoid along the united lists, then
    range expansion through every vector found within the threshold until no new one turns up.
-5. Pairs found are verified by cosine in double precision and counted in the first shard that both share; a shard returns
-   counts and, for components, one link to the smallest member of each group, not all pairs.
+5. Pairs found are verified by cosine in double precision. A shard's search is checked against the products of its blocks
+   of rows, and where it missed a pair, theirs are taken: no cap on neighbours loses a pair within a shard. Pairs are
+   counted in the first shard that both share; a shard returns counts and, for components, one link to the smallest
+   member of each group, not all pairs.
 6. Recall is audited: the links of ``audit_rows`` vectors are compared with brute force over all vectors. Below
    ``least_recall``, everything is done again with two more shards for each vector.
 
@@ -151,6 +153,18 @@ class Shard:
             yield found[found != q]
 
 
+    def pairs(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of local numbers (smaller, larger) with a cosine of at least ``threshold``, by products of blocks of rows."""
+        left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a in range(0, len(self.x), 512):
+            i, j = np.nonzero(self.x[a : a + 512] @ self.x[a:].T >= threshold - 1e-9)
+            i, j = i[j > i] + a, j[j > i] + a
+            real = np.einsum("ij,ij->i", self.x[i], self.x[j]) >= threshold
+            left.append(i[real])
+            right.append(j[real])
+        return np.concatenate(left), np.concatenate(right)
+
+
 def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
     """The batches of one shard after another; the first column is the shard."""
     held: list[pa.RecordBatch] = []
@@ -247,13 +261,17 @@ def _find(classes: DataFrame, threshold: float, overlap: int, shard_rows: int, f
             edges = np.unique(np.concatenate([left * n + right, right * n + left]))
             bounds = np.searchsorted(edges, np.arange(n + 1) * n)
             lists = [edges[bounds[k] : bounds[k + 1]] - k * n for k in range(n)]
-            found = list(Shard(ids, x).search(lists, threshold - 0.04))
+            shard = Shard(ids, x)
+            found = list(shard.search(lists, threshold - 0.04))
             left = np.repeat(np.arange(n), [len(f) for f in found])
             right = np.concatenate(found) if found else left
             pairs = np.unique(np.minimum(left, right) * n + np.maximum(left, right))
             left, right = pairs // n, pairs % n
             real = np.einsum("ij,ij->i", x[left], x[right]) >= threshold
             left, right = left[real], right[real]
+            every = shard.pairs(threshold)
+            if len(every[0]) > len(left):  # the lists hold too few neighbours, as in a dense group
+                left, right = every
             label = np.arange(n)
             while True:
                 least = label.copy()

@@ -45,6 +45,22 @@ def test_embeddings(spark, shard_rows):
     assert sum(got[i][1] == want[i][1] for i in ids) >= 0.97 * len(ids)
 
 
+def clumps(seed=7, groups=5, size=60, width=64):
+    """Groups of more different vectors than a vector's list has candidates, all linked with each other."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=width)
+    centres = [base + 0.25 * rng.normal(size=width) for _ in range(groups)]
+    return np.concatenate([c + 0.01 * rng.normal(size=(size, width)) for c in centres])
+
+
+def test_embeddings_dense_groups(spark):
+    x = clumps()
+    ids = list(range(len(x)))
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_graph.near_duplicates(frame).collect()}
+    assert got == brute(ids, x) and min(n for n, _ in got.values()) > 48
+
+
 def test_embeddings_empty(spark):
     assert embed_graph.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
