@@ -13,8 +13,11 @@
    of rows, and where it missed a pair, theirs are taken: no cap on neighbours loses a pair within a shard. Pairs are
    counted in the first shard that both share; a shard returns counts and, for components, one link to the smallest
    member of each group, not all pairs.
-6. Recall is audited: the links of ``audit_rows`` vectors are compared with brute force over all vectors. Below
-   ``least_recall``, everything is done again with two more shards for each vector.
+6. Recall is audited: the links of a sample are compared with brute force over all vectors. The sample grows from
+   ``audit_rows`` vectors until ``audit_links`` of its vectors have links. Where its recall, over links and as the mean of
+   its linked vectors, is below ``least_recall``, everything is done again with two more shards for each vector.
+7. Where nine shards do not reach it either, or ``audit_most`` vectors hold too few links for a verdict, all vectors are
+   compared, in pairs of blocks: exact, at a cost that grows with the square of their number.
 
 Only links with cosine >= ``threshold`` are returned. Defined results: vectors that are null, empty, zero or hold null or
 non-finite components link with nothing, and vectors of different lengths don't link; rows that repeat a vec_id are one
@@ -228,6 +231,19 @@ def _shards(classes: DataFrame, overlap: int, shard_rows: int, fit_rows: int) ->
     return placed.drop("cells").join(shards, "rep").select(F.explode("shards").alias("shard"), "shards", "rep", "weight", "v")
 
 
+def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of n numbers the smallest in its group of those that pairs connect."""
+    label = np.arange(n)
+    while True:
+        least = label.copy()
+        np.minimum.at(least, left, label[right])
+        np.minimum.at(least, right, label[left])
+        least = least[least]
+        if (least == label).all():
+            return label
+        label = least
+
+
 def _find(classes: DataFrame, threshold: float, overlap: int, shard_rows: int, fit_rows: int, candidates: int, degree: int, alpha: float) -> DataFrame:
     """(rep, n_links, other): for each class and shard the links counted there (members), and the smallest member of its group."""
     parts = 2 * shuffle_partitions(classes.sparkSession)
@@ -272,15 +288,7 @@ def _find(classes: DataFrame, threshold: float, overlap: int, shard_rows: int, f
             every = shard.pairs(threshold)
             if len(every[0]) > len(left):  # the lists hold too few neighbours, as in a dense group
                 left, right = every
-            label = np.arange(n)
-            while True:
-                least = label.copy()
-                np.minimum.at(least, left, label[right])
-                np.minimum.at(least, right, label[left])
-                least = least[least]
-                if (least == label).all():
-                    break
-                label = least
+            label = _labels(n, left, right)
             # Counted where the two meet first, so that no pair counts twice.
             first = np.array([min(set(shards[a]) & set(shards[b])) == name for a, b in zip(left.tolist(), right.tolist(), strict=True)], bool)
             count = np.bincount(left[first], weight[right[first]], n) + np.bincount(right[first], weight[left[first]], n)
@@ -290,40 +298,85 @@ def _find(classes: DataFrame, threshold: float, overlap: int, shard_rows: int, f
     return grouped(sharded.join(united, "rep").select("shard", "shards", "rep", "weight", "v", "near")).mapInArrow(search, "rep long, n_links long, other long")
 
 
-def audit(classes: DataFrame, found: DataFrame, threshold: float, audit_rows: int) -> float:
-    """The share of the links of ``audit_rows`` classes, picked by a hash of vec_id, that were found."""
-    spark = classes.sparkSession
-    sample = classes.orderBy(F.xxhash64("rep", F.lit(1))).limit(audit_rows).select("rep", "v").toPandas()  # at most audit_rows
-    ids = sample["rep"].to_numpy(np.int64)
-    shared = spark.sparkContext.broadcast((ids, sample["v"].tolist()))
+def _find_all(classes: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """What :func:`_find` returns, from comparing all classes: each pair of blocks of about ``block_rows`` classes is a shard."""
+    blocks = max(1, -(-classes.count() // block_rows))
+    block = F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int")
+    dealt = classes.select("rep", "weight", "v", block.alias("block")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # Vectors of different lengths don't link and are not compared.
+    shard = F.concat_ws("/", F.length("v"), F.least("block", "other"), F.greatest("block", "other"))
+    sharded = dealt.select(shard.alias("shard"), "rep", "weight", "v", "block").repartition(2 * shuffle_partitions(classes.sparkSession), "shard").sortWithinPartitions("shard")
 
-    def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vectors = shared.value
-        count = np.zeros(len(ids), np.int64)
-        for batch in batches:
-            raw, reps, weights = batch.column(2).to_pylist(), np.array(batch.column(0).to_pylist(), np.int64), np.array(batch.column(1).to_pylist(), np.int64)
-            for w in {len(v) for v in vectors}:
-                own = [n for n, v in enumerate(vectors) if len(v) == w]
-                rows = [n for n, v in enumerate(raw) if len(v) == w]
-                if rows:
-                    x = np.frombuffer(b"".join(raw[n] for n in rows), np.float64).reshape(len(rows), -1)
-                    y = np.frombuffer(b"".join(vectors[n] for n in own), np.float64).reshape(len(own), -1)
-                    near = (y @ x.T >= threshold) & (ids[own][:, None] != reps[rows][None, :])
-                    count[own] += near @ weights[rows]
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(count)], ["rep", "links"])
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _by_shard(batches):
+            ids, x, rows = _load(held)
+            weight, own = (np.array(rows.column(c).to_pylist(), np.int64) for c in ("weight", "block"))
+            left, right = Shard(ids, x).pairs(threshold)
+            _, one, two = rows.column("shard")[0].as_py().split("/")
+            if one != two:  # pairs within a block belong to the shard of that block alone
+                across = own[left] != own[right]
+                left, right = left[across], right[across]
+            count = np.bincount(left, weight[right], len(ids)) + np.bincount(right, weight[left], len(ids))
+            label, linked = _labels(len(ids), left, right), np.flatnonzero(count > 0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(count[linked].astype(np.int64)), pa.array(ids[label[linked]])], ["rep", "n_links", "other"])
 
-    truth = classes.select("rep", "weight", "v").mapInArrow(brute, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
-    own = truth.join(found.groupBy("rep").agg(F.sum("n_links").alias("n_links")), "rep", "left").agg(F.sum("links"), F.sum(F.coalesce("n_links", F.lit(0)))).first()
-    return (own[1] or 0) / own[0] if own[0] else 1.0
+    return sharded.mapInArrow(compare, "rep long, n_links long, other long")
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, overlap: int = 3, shard_rows: int = 1000, fit_rows: int = 20_000, candidates: int = 48, degree: int = 16, alpha: float = 1.2, audit_rows: int = 256, least_recall: float = 0.97) -> DataFrame:
+def audit(classes: DataFrame, found: DataFrame, threshold: float, audit_rows: int = 256, audit_links: int = 200, audit_most: int = 16_384) -> float | None:
+    """The share that was found of the links of a sample of classes, picked by a hash of vec_id: over all its links or as
+    the mean of its linked classes, whichever is less. The sample starts with ``audit_rows`` classes and grows until
+    ``audit_links`` of them have links. None: ``audit_most`` classes hold fewer, and there are more classes than that.
+    """
+    spark = classes.sparkSession
+    total, size = classes.count(), audit_rows
+    counted = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
+    while True:
+        sample = classes.orderBy(F.xxhash64("rep", F.lit(1))).limit(size).select("rep", "v").toPandas()  # at most audit_most
+        shared = spark.sparkContext.broadcast((sample["rep"].to_numpy(np.int64), sample["v"].tolist()))
+
+        def brute(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            ids, vectors = shared.value
+            count = np.zeros(len(ids), np.int64)
+            by_width: dict[int, list] = {}
+            for n, v in enumerate(vectors):
+                by_width.setdefault(len(v), []).append(n)
+            blocks = [(w, np.array(own[a : a + 512])) for w, own in by_width.items() for a in range(0, len(own), 512)]
+            blocks = [(w, own, np.frombuffer(b"".join(vectors[n] for n in own), np.float64).reshape(len(own), -1)) for w, own in blocks]
+            for batch in batches:
+                raw, reps, weights = batch.column(2).to_pylist(), np.array(batch.column(0).to_pylist(), np.int64), np.array(batch.column(1).to_pylist(), np.int64)
+                for width in by_width.keys() & {len(v) for v in raw}:
+                    rows = [n for n, v in enumerate(raw) if len(v) == width]
+                    x = np.frombuffer(b"".join(raw[n] for n in rows), np.float64).reshape(len(rows), -1)
+                    for w, own, y in blocks:
+                        if w == width:
+                            near = (y @ x.T >= threshold) & (ids[own][:, None] != reps[rows][None, :])
+                            count[own] += near @ weights[rows]
+            linked = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(count[linked])], ["rep", "links"])
+
+        truth = classes.select("rep", "weight", "v").mapInArrow(brute, "rep long, links long").groupBy("rep").agg(F.sum("links").alias("links"))
+        got = F.least("links", F.coalesce("n_links", F.lit(0)))
+        linked, links, held, mean = truth.join(counted, "rep", "left").agg(F.count(F.lit(1)), F.sum("links"), F.sum(got), F.avg(got / F.col("links"))).first()
+        shared.unpersist()
+        if linked >= audit_links or size >= total:
+            return min(held / links, mean) if linked else 1.0
+        if size >= audit_most:
+            return None
+        size = min(8 * size, audit_most)
+
+
+def near_duplicates(rows: DataFrame, threshold: float = 0.9, overlap: int = 3, shard_rows: int = 1000, fit_rows: int = 20_000, candidates: int = 48, degree: int = 16, alpha: float = 1.2, audit_rows: int = 256, least_recall: float = 0.97, audit_links: int = 200, audit_most: int = 16_384) -> DataFrame:
     """rows (vec_id, embedding) -> a row each: vec_id, n_links, component_id."""
     vectors = materialize(unit_vectors(rows))
     classes = materialize(vectors.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")).select("rep", "weight", "v"))
     while True:
         found = materialize(_find(classes, threshold, overlap, shard_rows, fit_rows, candidates, degree, alpha))
-        if overlap >= 9 or audit(classes, found, threshold, audit_rows) >= least_recall:
+        recall = audit(classes, found, threshold, audit_rows, audit_links, audit_most)
+        if recall is not None and recall >= least_recall:
+            break
+        if recall is None or overlap >= 9:
+            found = materialize(_find_all(classes, threshold, 2 * shard_rows))
             break
         overlap += 2
     joined = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")

@@ -61,6 +61,35 @@ def test_embeddings_dense_groups(spark):
     assert got == brute(ids, x) and min(n for n, _ in got.values()) > 48
 
 
+def as_classes(spark, x):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, 1, r.tobytes()) for i, r in enumerate(x)], "rep long, weight long, v binary")
+
+
+def test_embeddings_audit(spark):
+    rng = np.random.default_rng(8)
+    few = rng.normal(size=(4000, 64))
+    few = np.concatenate([few, few[:1] + 0.01 * rng.normal(size=(1, 64))])
+    none = spark.createDataFrame([], "rep long, n_links long, other long")
+    # Two linked vectors among 4001: a sample of 256 holds neither.
+    assert embed_graph.audit(as_classes(spark, few), none, 0.9, 256) == 0
+    assert embed_graph.audit(as_classes(spark, few), none, 0.9, 256, audit_most=256) is None
+    # One group's links are all found and outweigh the pairs', of which none is.
+    x = rng.normal(size=(41, 64))
+    x = np.concatenate([x[0] + 0.01 * rng.normal(size=(100, 64)), x[1:], x[1:] + 0.01 * rng.normal(size=(40, 64))])
+    found = spark.createDataFrame([(i, 99, 0) for i in range(100)], none.schema)
+    assert embed_graph.audit(as_classes(spark, x), found, 0.9, 256) == pytest.approx(100 / 180)
+
+
+def test_embeddings_without_a_verdict(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 64))
+    x = np.concatenate([x, x + 0.4 * rng.normal(size=(150, 64))])  # pairs at a cosine of about 0.93
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_graph.near_duplicates(frame, overlap=1, shard_rows=10, audit_rows=4, audit_most=4).collect()}
+    assert got == brute(list(range(len(x))), x) and sum(n for n, _ in got.values()) > 200
+
+
 def test_embeddings_empty(spark):
     assert embed_graph.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
