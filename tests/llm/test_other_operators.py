@@ -90,6 +90,27 @@ def test_embeddings_without_a_verdict(spark):
     assert got == brute(list(range(len(x))), x) and sum(n for n, _ in got.values()) > 200
 
 
+def test_embeddings_search_that_misses(spark, monkeypatch):
+    """A pair that the search finds in one shard and misses in another counts once."""
+    whole = embed_graph.Shard.search
+
+    def search(self, lists, reach, width=24):
+        return (found if self.ids[0] % 2 else found[:0] for found in whole(self, lists, reach, width))
+
+    monkeypatch.setattr(embed_graph.Shard, "search", search)
+    x = clumps(groups=8, size=12)
+    classes = as_classes(spark, x)
+    held = {}
+    for r in embed_graph._shards(classes, 3, 30, 20_000).select("shard", "rep").collect():
+        held.setdefault(r.rep, set()).add(r.shard)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.9
+    want = {a: sum(bool(near[a, b] and held[a] & held[b]) for b in held if a != b) for a in held}
+    found = embed_graph._find(classes, 0.9, 3, 30, 20_000, 48, 16, 1.2)
+    got = {r.rep: r.n for r in found.groupBy("rep").agg({"n_links": "sum"}).withColumnRenamed("sum(n_links)", "n").collect()}
+    assert got == want
+
+
 def test_embeddings_empty(spark):
     assert embed_graph.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
