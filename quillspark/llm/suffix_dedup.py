@@ -18,8 +18,10 @@ All windows of ``length`` bytes are compared without shuffling a suffix for each
 5. Marked windows come back to their documents as runs, which are merged and cut out of the text.
 
 Matches are decided on the bytes themselves; hashes only choose groups. Defined results: null texts are empty; texts
-shorter than ``length`` bytes stay whole; a null doc_id orders after all others; rows that repeat a doc_id count as one
-document (a string at the same start is not an earlier one, and spans of one row apply to the others); other columns stay.
+shorter than ``length`` bytes stay whole; a null doc_id orders after all others, and rows without one are documents of
+their own, in order of their text; rows that repeat a doc_id are documents of their own too, in order of their text, but
+those that repeat its text as well count as one document (a string at the same start is not an earlier one); other
+columns stay.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quillspark.llm.base import materialize, shuffle_partitions
 from quillspark.llm.shingles import blocks, mixed
@@ -258,6 +261,38 @@ def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([-1] * len(edges), pa.int32()), pa.array(owner[edges] if len(edges) else [], pa.int64()), pa.array(packed, pa.binary())], ["bucket", "id", "packed"])
 
 
+def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repeats_are_one: bool = True) -> DataFrame:
+    """docs with a column ``_id``, not null: a long for each document, in order of (doc_id, nulls last, text).
+
+    It is doc_id itself where no two rows share one (a null counts as LAST_ID). Otherwise the rows are sorted, numbered and
+    written to the shared folder. With ``repeats_are_one``, rows of the same doc_id (not null) and text share a number.
+    """
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
+    if docs.select(key.alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs.withColumn("_id", key)
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        now, last = TaskContext.get().partitionId() << 40, None
+        for batch in batches:
+            numbers = []
+            keys, texts = (batch.column(k) for k in (batch.num_columns - 2, batch.num_columns - 1))
+            for own, held in zip(keys.to_pylist(), texts, strict=True):
+                this = (own, held.as_py() or "")
+                if not repeats_are_one or own is None or this != last:
+                    now += 1
+                last = this
+                numbers.append(now)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(numbers, pa.int64())], [*batch.schema.names[:-2], "_id"])
+
+    # Ties among rows that are documents of their own are split, so that very many equal rows don't share a task.
+    alone = F.col("_key").isNull() if repeats_are_one else F.lit(True)
+    keyed = docs.withColumn("_key", F.col(doc_id).cast("long")).withColumn("_string", F.col(text).cast("string"))
+    ordered = keyed.withColumn("_tie", F.when(alone, F.monotonically_increasing_id())).orderBy(F.col("_key").asc_nulls_last(), F.coalesce("_string", F.lit("")), "_tie").drop("_tie")
+    return materialize(ordered.mapInArrow(number, StructType([*docs.schema.fields, StructField("_id", LongType())])))
+
+
 def repeated_runs(docs: DataFrame, text: str = "text", length: int = 100, hot: int = 2000) -> DataFrame:
     """docs (with _id, not null) -> (_id, _runs): for each document with repeats, arrays of packed (start, end) byte pairs."""
     spark = docs.sparkSession
@@ -306,8 +341,6 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = 100, hot: i
                 raw = (text.as_py() or "").encode()
                 for at in segments.as_py():
                     start, windows, before = at >> 17, at >> 9 & 255, at >> 1 & 255
-                    if start + windows + length - 1 > len(raw):
-                        continue  # another row with this id
                     if at & 1:
                         for k in range(windows):
                             held.append((doc, start + k, 1, before - k, raw[start + k : start + k + length], True))
@@ -407,5 +440,5 @@ def kept_text(text: Column, runs: Column) -> Column:
 
 def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100) -> tuple[DataFrame, Column]:
     """docs with the columns ``_id`` and ``_runs``, and the column expression of a struct (n_bytes, n_removed, n_spans, kept)."""
-    keyed = docs.withColumn("_id", F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID)))
+    keyed = numbered(docs, text, doc_id)
     return keyed.join(repeated_runs(keyed, text, length), "_id", "left"), _cut_out(F.col(text).cast("string"), F.col("_runs"))

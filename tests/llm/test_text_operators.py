@@ -131,6 +131,35 @@ def test_suffix_dedup_cases(spark, none):
     assert got == sorted([(3, 0), (3, 0), (None, len(text)), (5, 349), (1, 0)], key=str)
 
 
+def test_suffix_dedup_shared_ids(spark):
+    """Rows without a doc_id, and rows of one doc_id with different texts, are documents of their own."""
+    rng = random.Random(12)
+    fresh = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    passage, copy = fresh(150), fresh(260)
+    rows = [(7, fresh(300)), (None, fresh(400)), (None, fresh(40) + passage + fresh(200)), (None, fresh(90) + passage + fresh(50)), (None, copy), (None, copy), (4, fresh(60) + passage), (4, fresh(380)), (4, copy[:180]), (9, "same " * 60), (9, "same " * 60), (None, None), (None, "")]
+    frame = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n int").repartition(3)
+    found, cut = suffix_dedup.without_repeats(frame)
+    got = sorted(((r.doc_id, r.text, r.cut.n_bytes, r.cut.n_removed, r.cut.n_spans, bytes(r.cut.kept)) for r in found.select("doc_id", "text", cut.alias("cut")).collect()), key=repr)
+    ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    once = [r for k, r in enumerate(ordered) if r[0] is None or r not in ordered[:k]]
+    want = brute_repeats([(k, t) for k, (_, t) in enumerate(once)])
+    want = [(i, t, *want[k]) for k, (i, t) in enumerate(once)]
+    want = sorted([*want, *(w for w in want if w[0] == 9)], key=repr)
+    assert got == want
+    assert sum(w[3] for w in want if w[0] is None) >= 2 * 150 + 260
+
+
+def test_near_copies_without_ids(spark):
+    import corpus_pipeline
+
+    texts = [" ".join(f"w{k}x{n}" for n in range(30)) for k in range(4)]
+    rows = [(None, texts[0]), (None, texts[0]), (None, texts[1]), (3, texts[1]), (None, texts[2] + " more"), (None, texts[2]), (5, texts[3]), (5, texts[3]), (6, "other words than these")]
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n long").repartition(3)
+    left = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in left.collect()], key=repr) == sorted([(None, texts[0]), (3, texts[1]), (None, texts[2]), (5, texts[3]), (6, "other words than these")], key=repr)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=60) | st.sampled_from([b"", b"a" * 40, b"a" * 40 + b"\0", b"a" * 41, b"\0" * 33, b"\0" * 34]), max_size=40))
 def test_deep_shallow(strings):
