@@ -5,11 +5,13 @@ from __future__ import annotations
 import importlib
 import os
 import pkgutil
+import re
 import tempfile
 import uuid
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
 def ship_by_value() -> None:
@@ -23,26 +25,73 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_value(thing) -> bytes:
+    """thing pickled by value, for a broadcast: executors need only ``pickle`` and pyspark to load it."""
+    ship_by_value()
+    return cloudpickle.dumps(thing)
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many underscores before it as keep it from clashing with a column's name."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests on one machine, is a temporary folder made and remembered in the session.
+    Only where that is unset and all runs in this process, as in tests, is a temporary folder made and remembered in the session.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it again: lineage is cut, and a lost executor costs no recomputation."""
+    """Write df to the shared folder as Parquet and read it again: lineage is cut, and a lost executor costs no recomputation.
+
+    The folder goes with :func:`drop_materialized`, or else when the driver's process ends.
+    """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"quillspark-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
+    held = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(held)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def range_prefix(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df in order of the columns ``order``, with running sums: name -> column that is summed up to and with the row.
+
+    Rows are dealt out by sorted ranges and written with their range's number; sums over ranges, a row each, go through the
+    driver, and each range adds up its own rows after what lies before it. Nulls in summed columns count as 0. Equal rows
+    in all of ``order`` are summed in any order, so ``order`` should tell rows apart.
+    """
+    spark = df.sparkSession
+    part, *before = fresh(df.columns + list(sums), "part", *[f"before_{k}" for k in range(len(sums))])
+    ranged = materialize(df.repartitionByRange(shuffle_partitions(spark), *order).withColumn(part, F.spark_partition_id()))
+    totals = ranged.groupBy(part).agg(*[F.sum(c).alias(b) for b, c in zip(before, sums.values(), strict=True)]).orderBy(part).collect()  # a row for each range
+    held, at = [], [0] * len(sums)
+    for row in totals:
+        held.append((row[0], *at))
+        at = [a + (x or 0) for a, x in zip(at, row[1:], strict=True)]
+    kinds = [F.sum(c) for c in sums.values()]
+    kinds = [f.dataType.simpleString() for f in ranged.agg(*kinds).schema]
+    offsets = spark.createDataFrame(held, ", ".join([f"`{part}` int", *[f"`{b}` {k}" for b, k in zip(before, kinds, strict=True)]]))
+    own = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({name: F.sum(F.coalesce(F.col(c), F.lit(0))).over(own) for name, c in sums.items()})
+    return local.join(F.broadcast(offsets), part).withColumns({name: F.col(name) + F.col(b) for name, b in zip(sums, before, strict=True)}).drop(part, *before)
+
+
 def drop_materialized(*frames: DataFrame) -> None:
     """Delete what :func:`materialize` wrote for these frames; call it only when nothing reads them any more."""
     for df in frames:

@@ -5,30 +5,33 @@ its source (``e`` = 0, 1, 2) has the virtual finish time
 
     (words of its source up to and with it + e * words of its source) / the source's target
 
-All copies are ordered by finish time, and the mix takes them from the front until the next would pass the total budget.
+All copies are range-sorted by finish time over the whole corpus, and the mix takes them from the front until the next
+would pass the total budget.
 
 Targets: sources in code-point order, null last, weigh 1, 2, 3 and so on repeating, and share the words of all documents
 (the budget). A target stops at ``max_passes`` times its source's words; the excess goes to the others by weight until no
 target is above its limit. That water level is found in closed form: with the sources ordered by limit / weight, those
 before the level are at their limits, and the level is what they leave over the weights that remain.
 
-Prefix sums use two levels, (source, bucket of the shuffle key) and then inside a bucket, so that no task holds a source.
+All running sums (words in a source, sources before a source, limits before a ratio, words before a finish time) come from
+sorted ranges and the sums of whole ranges (:func:`base.range_prefix`), so that no task holds a source, all sources or all
+copies of one time. The cut is one place in the order, and whether a copy lies before it is told by its own columns.
 
-Defined results: a null text has size 0; an empty table gives an empty result; documents of size 0 take 0 words; a null
-``doc_id`` is a document like others; rows that repeat a ``doc_id`` are separate documents. Other columns aren't read.
+Defined results: a null text has size 0; an empty table gives an empty result; documents of size 0 take 0 words, and where
+no document has a word every target is 0; a null ``doc_id`` is a document like others; rows that repeat a ``doc_id`` are
+separate documents; equal rows are interchangeable; a text of any length is one number here. Other columns aren't read but
+for ``keep``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.base import materialize
+from quillspark.llm.base import drop_materialized, fresh, materialize, range_prefix
 
 #: A word, for sizes: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets of the shuffle key in a source, and of a unit of virtual time.
-KEY_BUCKETS, TIME_BUCKETS, LAST_BUCKET = 4096, 4096, 1 << 20
 
 
 def word_count(text: Column) -> Column:
@@ -36,60 +39,56 @@ def word_count(text: Column) -> Column:
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_passes: int = 3) -> DataFrame:
-    """sources (skey, source_size; a row each) with ``target``. Its windows see one row per source."""
-    by_key, by_ratio = Window.orderBy("skey"), Window.orderBy("ratio", "skey")
-    weighed = sources.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(by_key) - 1) % len(weights) + 1).cast("int")).cast("long"))
-    ranked = (
-        weighed.withColumn("limit", F.col("source_size") * max_passes)
-        .withColumn("ratio", F.col("limit") / F.col("weight"))
-        .withColumn("before", F.sum("limit").over(by_ratio.rowsBetween(Window.unboundedPreceding, -1)))
-        .withColumn("rest_weight", F.sum("weight").over(by_ratio.rowsBetween(0, Window.unboundedFollowing)))
-        .withColumn("budget", F.sum("source_size").over(Window.partitionBy()))
-        .withColumn("level", (F.col("budget") - F.coalesce("before", F.lit(0))) / F.col("rest_weight"))
+    """sources (skey, source_size; a row each) with ``before`` (words of the sources before it), ``budget`` and ``target``."""
+    placed = range_prefix(sources.withColumn("one", F.lit(1).cast("long")), ["skey"], {"place": "one", "upto": "source_size"})
+    cycle = F.array(*[F.lit(w) for w in weights])
+    weighed = materialize(
+        placed.withColumn("weight", F.element_at(cycle, ((F.col("place") - 1) % len(weights) + 1).cast("int")).cast("long"))
+        .withColumn("lim", F.col("source_size") * max_passes)
+        .withColumn("ratio", F.col("lim") / F.col("weight"))
+        .select("skey", "source_size", "weight", "lim", "ratio", (F.col("upto") - F.col("source_size")).alias("before"))
     )
-    water = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "skey", "level"))).over(Window.partitionBy())["level"]
-    return ranked.withColumn("water", water).select("skey", "source_size", "budget", F.least(F.col("limit").cast("double"), F.col("water") * F.col("weight")).alias("target"))
+    budget, weight = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    ranked = range_prefix(weighed.select("ratio", "skey", "lim", "weight"), ["ratio", "skey"], {"limits": "lim", "passed": "weight"})
+    level = (F.lit(budget) - F.col("limits") + F.col("lim")).cast("double") / (F.lit(weight) - F.col("passed") + F.col("weight"))
+    water = ranked.select("ratio", "skey", level.alias("level")).filter("level <= ratio").agg(F.min(F.struct("ratio", "skey", "level")).alias("x")).first()["x"]  # one row
+    return weighed.select("skey", "source_size", "before", F.lit(budget).alias("budget"), F.least(F.col("lim").cast("double"), F.lit(water["level"] if water else 0.0) * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_passes: int = 3) -> DataFrame:
-    """One row per document: the columns doc_id, source, size, source_size, target, copies (times taken) and taken (words)."""
-    shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_passes: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: the columns ``keep``, doc_id, source, size, source_size, target, copies (times taken) and taken (words).
+
+    keep: columns that are handed through, and that put rows of one doc_id and size in order.
+    """
+    kept = fresh(["doc_id", "source", "skey", "key", "size", "row", "upto", "source_size", "before", "budget", "target"], *[f"keep_{k}" for k in range(len(keep))])
     sized = docs.select(
         "doc_id",
         "source",
         F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source"))).alias("skey"),
         word_count(F.col("text")).alias("size"),
-        shuffled.alias("key"),
-        F.conv(F.substring(shuffled, 1, 3), 16, 10).cast("int").alias("bucket"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
+        *[F.col(c).alias(k) for c, k in zip(keep, kept, strict=True)],
+        F.monotonically_increasing_id().alias("row"),  # deals out rows that are equal otherwise
     )
     sized = materialize(sized)
-    buckets = sized.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
-    per_source = Window.partitionBy("skey").orderBy("bucket")
-    offsets = buckets.withColumn("offset", F.sum("words").over(per_source) - F.col("words"))
-    shares = targets(buckets.groupBy("skey").agg(F.sum("words").alias("source_size")), weights, max_passes)
-    offsets = offsets.join(shares, "skey").drop("words")
-    in_bucket = Window.partitionBy("skey", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    queued = materialize(sized.withColumn("upto", F.sum("size").over(in_bucket)).join(offsets, ["skey", "bucket"]).withColumn("upto", F.col("upto") + F.col("offset")).drop("offset", "bucket"))
-
-    def time(e: int | Column) -> Column:
-        return (F.col("upto") + e * F.col("source_size")) / F.col("target")
-
-    def slot(t: Column) -> Column:
-        return F.least(F.floor(t * TIME_BUCKETS), F.lit(LAST_BUCKET)).cast("long")
-
-    copies = queued.filter("size > 0").select("*", F.explode(F.array(*map(F.lit, range(max_passes)))).alias("e")).withColumn("t", time(F.col("e"))).withColumn("slot", slot(F.col("t")))
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("words"), F.max("budget").alias("budget"))
-    running = slots.withColumn("done", F.sum("words").over(Window.orderBy("slot")))
-    over = running.filter("done > budget").agg(F.min(F.struct("slot", "done", "words", "budget")).alias("x")).select("x.*").first()  # one row
-    if over is None or over["slot"] is None:  # the budget takes every copy
-        taken = F.when(F.col("size") > 0, F.lit(max_passes)).otherwise(0)
-        return queued.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.cast("int").alias("copies"), (taken * F.col("size")).cast("long").alias("taken"))
-    last, left = over["slot"], over["budget"] - (over["done"] - over["words"])
-    whole = sum((F.when(slot(time(e)) < last, 1).otherwise(0) for e in range(max_passes)), F.lit(0))
-    # Only the slot in which the budget ends is ordered copy by copy.
-    order = Window.orderBy("t", "skey", "key", "doc_id", "size", "e").rowsBetween(Window.unboundedPreceding, 0)
-    cut = copies.filter(F.col("slot") == last).withColumn("reached", F.sum("size").over(order)).filter(F.col("reached") <= left)
-    edge = cut.groupBy("skey", "key", "doc_id", "size", "upto").agg(F.count(F.lit(1)).alias("edge"))
-    keys = ["skey", "key", "size", "upto"]
-    joined = queued.join(edge.drop("doc_id"), keys, "left").withColumn("copies", F.when(F.col("size") > 0, whole + F.coalesce("edge", F.lit(0))).otherwise(0).cast("int"))
-    return joined.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
+    shares = materialize(targets(sized.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, max_passes))
+    queued = range_prefix(sized, ["skey", "key", "doc_id", "size", *kept, "row"], {"upto": "size"})
+    queued = materialize(queued.drop("key", "row").join(shares, "skey").withColumn("upto", F.col("upto") - F.col("before")).drop("before"))
+    drop_materialized(sized, shares)
+
+    def time(v: Column) -> Column:
+        return v / F.col("target")
+
+    # A copy's place in the order: its time, its source, and the words of its source up to it (no two copies share all three).
+    places = F.array(*[F.col("upto") + F.lit(e) * F.col("source_size") for e in range(max_passes)])
+    copies = queued.filter("size > 0").select("skey", "size", "target", "budget", F.explode(places).alias("v"))
+    reached = range_prefix(copies.select(time(F.col("v")).alias("t"), "skey", "v", "size", "budget"), ["t", "skey", "v"], {"reached": "size"})
+    last = reached.filter("reached <= budget").agg(F.max(F.struct("t", "skey", "v")).alias("x")).first()["x"]  # one row
+    if last is None:  # no document has a word
+        times = F.lit(0)
+    else:
+        cut = F.struct(F.lit(last["t"]).cast("double").alias("t"), F.lit(last["skey"]).alias("skey"), F.lit(last["v"]).cast("long").alias("v"))
+        inside = F.filter(places, lambda v: F.struct(time(v).alias("t"), F.col("skey").alias("skey"), v.alias("v")) <= cut)
+        times = F.when(F.col("size") > 0, F.size(inside)).otherwise(0)
+    found = queued.withColumn("copies", times.cast("int"))
+    return found.select(*[F.col(k).alias(c) for c, k in zip(keep, kept, strict=True)], "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

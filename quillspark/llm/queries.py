@@ -39,8 +39,8 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, cut = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    found = docs.select("doc_id", cut.alias("cut"))
+    repeats = suffix_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = repeats.frame.select(repeats.columns["doc_id"], repeats.cut.alias("cut"))
     return found.select("doc_id", "cut.n_bytes", "cut.n_removed", "cut.n_spans", F.sha2("cut.kept", 256).alias("kept_sha256"))
 
 
@@ -54,7 +54,7 @@ def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
@@ -118,7 +118,7 @@ queued AS (
          (sum(size) OVER (PARTITION BY s.skey ORDER BY key, doc_id, size ROWS UNBOUNDED PRECEDING))::BIGINT AS upto
   FROM sized s JOIN targets t ON s.skey = t.skey),
 copies AS (SELECT *, (upto + e * source_size)::DOUBLE / target AS t FROM queued, (VALUES (0), (1), (2)) v(e) WHERE size > 0),
-reached AS (SELECT *, sum(size) OVER (ORDER BY t, skey, key, doc_id, size, e ROWS UNBOUNDED PRECEDING) AS r FROM copies),
+reached AS (SELECT *, sum(size) OVER (ORDER BY t, skey, upto + e * source_size ROWS UNBOUNDED PRECEDING) AS r FROM copies),
 taken AS (SELECT skey, upto, count(*) AS n FROM reached WHERE r <= budget GROUP BY skey, upto)
 SELECT q.doc_id, q.size, q.source_size, coalesce(q.target, 0) AS target,
        (CASE WHEN q.size > 0 THEN coalesce(t.n, 0) ELSE 0 END)::INTEGER AS copies,

@@ -21,7 +21,8 @@ Matches are decided on the bytes themselves; hashes only choose groups. Defined
 shorter than ``length`` bytes stay whole; a null doc_id orders after all others, and rows without one are documents of
 their own, in order of their text; rows that repeat a doc_id are documents of their own too, in order of their text, but
 those that repeat its text as well count as one document (a string at the same start is not an earlier one); other
-columns stay.
+columns stay, whatever their names; an empty table gives an empty result; a text of any length is anchored block by block
+and sent segment by segment.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -37,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quillspark.llm.base import materialize, shuffle_partitions
+from quillspark.llm.base import fresh, materialize, shuffle_partitions
 from quillspark.llm.shingles import blocks, mixed
 
 GRAM = 32
@@ -261,15 +263,17 @@ def _runs(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([-1] * len(edges), pa.int32()), pa.array(owner[edges] if len(edges) else [], pa.int64()), pa.array(packed, pa.binary())], ["bucket", "id", "packed"])
 
 
-def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repeats_are_one: bool = True) -> DataFrame:
-    """docs with a column ``_id``, not null: a long for each document, in order of (doc_id, nulls last, text).
+def numbered(docs: DataFrame, name: str, text: str = "text", doc_id: str = "doc_id", repeats_are_one: bool = True, nulls_first: bool = False) -> DataFrame:
+    """docs with a column ``name``, not null: a long for each document, in order of (doc_id, text); null doc_ids last or first.
 
-    It is doc_id itself where no two rows share one (a null counts as LAST_ID). Otherwise the rows are sorted, numbered and
-    written to the shared folder. With ``repeats_are_one``, rows of the same doc_id (not null) and text share a number.
+    It is doc_id itself where no two rows share one (a null counts as the largest or least long). Otherwise the rows are
+    sorted, numbered and written to the shared folder. With ``repeats_are_one``, rows of the same doc_id (not null) and text
+    share a number.
     """
-    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST_ID))
-    if docs.select(key.alias("_id")).groupBy("_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        return docs.withColumn("_id", key)
+    key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-LAST_ID - 1 if nulls_first else LAST_ID))
+    if docs.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs.withColumn(name, key)
+    own, string, tie = fresh(docs.columns, "key", "string", "tie")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -278,23 +282,24 @@ def numbered(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repeat
         for batch in batches:
             numbers = []
             keys, texts = (batch.column(k) for k in (batch.num_columns - 2, batch.num_columns - 1))
-            for own, held in zip(keys.to_pylist(), texts, strict=True):
-                this = (own, held.as_py() or "")
-                if not repeats_are_one or own is None or this != last:
+            for key, held in zip(keys.to_pylist(), texts, strict=True):
+                this = (key, held.as_py() or "")
+                if not repeats_are_one or key is None or this != last:
                     now += 1
                 last = this
                 numbers.append(now)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(numbers, pa.int64())], [*batch.schema.names[:-2], "_id"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(numbers, pa.int64())], [*batch.schema.names[:-2], name])
 
     # Ties among rows that are documents of their own are split, so that very many equal rows don't share a task.
-    alone = F.col("_key").isNull() if repeats_are_one else F.lit(True)
-    keyed = docs.withColumn("_key", F.col(doc_id).cast("long")).withColumn("_string", F.col(text).cast("string"))
-    ordered = keyed.withColumn("_tie", F.when(alone, F.monotonically_increasing_id())).orderBy(F.col("_key").asc_nulls_last(), F.coalesce("_string", F.lit("")), "_tie").drop("_tie")
-    return materialize(ordered.mapInArrow(number, StructType([*docs.schema.fields, StructField("_id", LongType())])))
+    alone = F.col(own).isNull() if repeats_are_one else F.lit(True)
+    keyed = docs.withColumn(own, F.col(doc_id).cast("long")).withColumn(string, F.col(text).cast("string"))
+    by_key = F.col(own).asc_nulls_first() if nulls_first else F.col(own).asc_nulls_last()
+    ordered = keyed.withColumn(tie, F.when(alone, F.monotonically_increasing_id())).orderBy(by_key, F.coalesce(string, F.lit("")), tie).drop(tie)
+    return materialize(ordered.mapInArrow(number, StructType([*docs.schema.fields, StructField(name, LongType())])))
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", length: int = 100, hot: int = 2000) -> DataFrame:
-    """docs (with _id, not null) -> (_id, _runs): for each document with repeats, arrays of packed (start, end) byte pairs."""
+def repeated_runs(docs: DataFrame, length: int = 100, hot: int = 2000) -> DataFrame:
+    """docs (id, not null, text, and others) -> (id, runs): for each document with repeats, arrays of packed (start, end) byte pairs."""
     spark = docs.sparkSession
     parts = 2 * shuffle_partitions(spark)
     buckets = parts
@@ -386,17 +391,17 @@ def repeated_runs(docs: DataFrame, text: str = "text", length: int = 100, hot: i
         if held:
             yield marked()
 
-    every = docs.select("_id", F.col(text).cast("string")).mapInArrow(anchors, "anchor long, _id long, at long")
+    every = docs.select("id", "text").mapInArrow(anchors, "anchor long, id long, at long")
     # Written out, so that the join reads both sides from exchanges and AQE can split a key that very many segments hold.
     repeated = materialize(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     at = F.shiftleft("at", 1) + F.when(F.col("n") > hot, 1).otherwise(0)
-    segments = every.join(repeated, "anchor").select("_id", at.alias("at")).groupBy("_id").agg(F.collect_list("at").alias("_segments"))
+    segments = every.join(repeated, "anchor").select("id", at.alias("at")).groupBy("id").agg(F.collect_list("at").alias("segments"))
     schema = "bucket int, id long, packed binary"
     # All columns are read, so that this join and that of without_repeats share one exchange of the documents.
-    sent = docs.join(segments, "_id").select("_id", F.col(text).cast("string"), "_segments", F.struct(*[c for c in docs.columns if c != text]).alias("_rest")).mapInArrow(cut, schema)
+    sent = docs.join(segments, "id").select("id", "text", "segments", F.struct(*[c for c in docs.columns if c != "text"]).alias("rest")).mapInArrow(cut, schema)
     spread = F.when(F.col("bucket") >= 0, F.col("bucket")).otherwise(-1 - F.pmod(F.xxhash64("id"), F.lit(buckets)))
     sorted_ = sent.repartition(parts, spread).sortWithinPartitions("bucket").mapInArrow(sort, schema)
-    return sorted_.groupBy(F.col("id").alias("_id")).agg(F.collect_list("packed").alias("_runs"))
+    return sorted_.groupBy("id").agg(F.collect_list("packed").alias("runs"))
 
 
 def _cut(texts: pd.Series, runs: pd.Series) -> pd.DataFrame:
@@ -438,7 +443,29 @@ def kept_text(text: Column, runs: Column) -> Column:
     return left(text, runs)
 
 
-def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100) -> tuple[DataFrame, Column]:
-    """docs with the columns ``_id`` and ``_runs``, and the column expression of a struct (n_bytes, n_removed, n_spans, kept)."""
-    keyed = numbered(docs, text, doc_id)
-    return keyed.join(repeated_runs(keyed, text, length), "_id", "left"), _cut_out(F.col(text).cast("string"), F.col("_runs"))
+@dataclass
+class Repeats:
+    """frame: id, text, runs and the other columns by names of its own; columns: what restores the input's columns from it."""
+
+    frame: DataFrame
+    columns: dict[str, Column]
+
+    @property
+    def cut(self) -> Column:
+        """A struct (n_bytes, n_removed, n_spans, kept)."""
+        return _cut_out(F.col("text"), F.col("runs"))
+
+    @property
+    def kept_text(self) -> Column:
+        return kept_text(F.col("text"), F.col("runs"))
+
+
+def without_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: int = 100) -> Repeats:
+    """Each row of docs with the byte runs to take out of its text."""
+    [name] = fresh(docs.columns, "id")
+    keyed = numbered(docs, name, text, doc_id)
+    # Names of our own, so that none of the input's can clash with them.
+    others = {c: f"c{k}" for k, c in enumerate(docs.columns) if c != text}
+    renamed = keyed.select(F.col(name).alias("id"), F.col(text).cast("string").alias("text"), *[F.col(f"`{c}`").alias(k) for c, k in others.items()])
+    columns = {c: F.col(others.get(c, "text")).alias(c) for c in docs.columns}
+    return Repeats(renamed.join(repeated_runs(renamed, length), "id", "left"), columns)

@@ -112,22 +112,25 @@ def brute_repeats(rows, length=100):
     return out
 
 
+def cuts(docs):
+    found = suffix_dedup.without_repeats(docs)
+    rows = found.frame.select(found.columns["doc_id"], found.columns["text"], found.cut.alias("cut")).collect()
+    return [(r[0], r[1], r[2]) for r in rows]
+
+
 @pytest.mark.parametrize("hot", [2000, 1])
 def test_suffix_dedup(docs, rows, hot, monkeypatch):
     whole = suffix_dedup.repeated_runs
-    monkeypatch.setattr(suffix_dedup, "repeated_runs", lambda d, t, n: whole(d, t, n, hot))
-    found, cut = suffix_dedup.without_repeats(docs)
-    got = {r.doc_id: tuple(r.cut) for r in found.select("doc_id", cut.alias("cut")).collect()}
+    monkeypatch.setattr(suffix_dedup, "repeated_runs", lambda d, n: whole(d, n, hot))
+    got = {i: tuple(cut) for i, _, cut in cuts(docs)}
     assert {k: (a, b, c, bytes(d)) for k, (a, b, c, d) in got.items()} == brute_repeats(rows)
 
 
 def test_suffix_dedup_cases(spark, none):
-    found, cut = suffix_dedup.without_repeats(none)
-    assert found.select(cut).count() == 0
+    assert cuts(none) == []
     text = "".join(chr(97 + (k * k) % 23) + str(k) for k in range(80))
     rows = [(3, text), (3, text), (None, text), (5, "x" * 350), (1, None)]
-    found, cut = suffix_dedup.without_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    got = sorted(((r.doc_id, r.cut.n_removed) for r in found.select("doc_id", cut.alias("cut")).collect()), key=str)
+    got = sorted(((i, cut.n_removed) for i, _, cut in cuts(spark.createDataFrame(rows, "doc_id long, text string"))), key=str)
     assert got == sorted([(3, 0), (3, 0), (None, len(text)), (5, 349), (1, 0)], key=str)
 
 
@@ -138,8 +141,7 @@ def test_suffix_dedup_shared_ids(spark):
     passage, copy = fresh(150), fresh(260)
     rows = [(7, fresh(300)), (None, fresh(400)), (None, fresh(40) + passage + fresh(200)), (None, fresh(90) + passage + fresh(50)), (None, copy), (None, copy), (4, fresh(60) + passage), (4, fresh(380)), (4, copy[:180]), (9, "same " * 60), (9, "same " * 60), (None, None), (None, "")]
     frame = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, n int").repartition(3)
-    found, cut = suffix_dedup.without_repeats(frame)
-    got = sorted(((r.doc_id, r.text, r.cut.n_bytes, r.cut.n_removed, r.cut.n_spans, bytes(r.cut.kept)) for r in found.select("doc_id", "text", cut.alias("cut")).collect()), key=repr)
+    got = sorted(((i, t, cut.n_bytes, cut.n_removed, cut.n_spans, bytes(cut.kept)) for i, t, cut in cuts(frame)), key=repr)
     ordered = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
     once = [r for k, r in enumerate(ordered) if r[0] is None or r not in ordered[:k]]
     want = brute_repeats([(k, t) for k, (_, t) in enumerate(once)])
