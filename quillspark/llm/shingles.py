@@ -1,11 +1,13 @@
-r"""Word shingles as sets of 64-bit hashes, computed for many texts at once.
+r"""Word shingles as sets of 64-bit hashes.
 
 Words are runs of bytes outside ``\x20\x09-\x0D`` with A-Z lower-cased; a text's set holds a hash for each distinct run
-of ``width`` words, one for all its words if there are fewer, and none if there are no words.
+of ``width`` words, one for all its words if there are fewer, and none if there are no words. A word's hash is 64 bits of
+BLAKE2b over all of its bytes, so that no pattern in a text makes hashes meet; a run's hash mixes those of its words.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,65 +22,50 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    def __init__(self, width: int = 5):
-        self.width = width
-        self.value = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64)
-        self.value[65:91] = self.value[97:123]
-        self.word = np.ones(256, bool)
-        self.word[[32, *range(9, 14)]] = False
-        self._powers(1 << 20)
+class _Words(dict):
+    """Word -> hash, remembered for short words."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 64:
+            self[word] = found
+        return found
 
-    def _powers(self, n: int) -> None:
-        self.powers, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(n, x, np.uint64)), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+class Shingler:
+    def __init__(self, width: int = 5, memory: int = 400_000):
+        self.width, self.memory, self.known = width, memory, _Words()
 
     def sets(self, texts: list[bytes]) -> list[np.ndarray]:
         """The sorted set of each text."""
-        out: list[np.ndarray] = []
-        held, room = [], 1 << 20
+        hashed, lengths = [], []
         for text in texts:
-            if held and len(text) + 1 > room:
-                out += self._block(held)
-                held, room = [], 1 << 20
-            held.append(text)
-            room -= len(text) + 1
-        return out + (self._block(held) if held else [])
-
-    def _block(self, texts: list[bytes]) -> list[np.ndarray]:
-        raw = np.frombuffer(b" ".join(texts), np.uint8)
-        lengths = np.array([len(t) + 1 for t in texts], np.int64)
-        doc_starts = np.append(0, np.cumsum(lengths))
-        if len(raw) > len(self.powers) - 1:
-            self._powers(len(raw))
-        inside = np.concatenate([[False], self.word[raw], [False]])
-        step = np.flatnonzero(inside[1:] != inside[:-1])
-        at, end = step[::2], step[1::2]
-        sums = np.append(np.uint64(0), np.cumsum(self.value[raw] * self.powers[: len(raw)], dtype=np.uint64))
-        words = mixed((sums[end] - sums[at]) * self.inverse[at] + (end - at).astype(np.uint64))
-        first = np.searchsorted(at, doc_starts)
-        w = self.width
+            words = text.lower().split()  # splits at ASCII white space
+            hashed.append(np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words)))
+            lengths.append(len(words))
+            if len(self.known) > self.memory:
+                self.known.clear()
+        words, w = np.concatenate(hashed) if hashed else np.empty(0, np.uint64), self.width
         runs = np.zeros(max(0, len(words) - w + 1), np.uint64)
         for k in range(w):
-            runs = runs * np.uint64(_BASE) + words[k : k + len(runs)]
-        runs = mixed(runs)
-        out = []
-        for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if b - a >= w:
-                out.append(np.unique(runs[a : b - w + 1]))
-            elif b > a:
-                short = np.array([b - a], np.uint64)
-                for k in range(a, b):
+            runs = mixed(runs * np.uint64(_BASE) + words[k : k + len(runs)])
+        out, a = [], 0
+        for n in lengths:
+            if n >= w:
+                out.append(np.unique(runs[a : a + n - w + 1]))
+            elif n:
+                short = np.array([n], np.uint64)
+                for k in range(a, a + n):
                     short = mixed(short * np.uint64(_BASE) + words[k : k + 1])
                 out.append(short)
             else:
                 out.append(np.empty(0, np.uint64))
+            a += n
         return out
 
 
 def signature(found: np.ndarray) -> bytes:
     """16 bytes that stand for a set."""
-    import hashlib
-
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 

@@ -75,12 +75,32 @@ def brute_components(sets):
     return {i: find(i) for i in ids}
 
 
+def brute_links(sets):
+    linked = lambda a, b: a and b and 100 * len(a & b) >= 75 * len(a | b)
+    return {i: sum(bool(linked(a, b)) for j, b in sets.items() if i != j) for i, a in sets.items()}
+
+
 @pytest.mark.parametrize("options", [{}, {"long_list": 1}, {"block_rows": 2}, {"common_limit": 0, "block_rows": 3}])
 def test_jaccard(docs, rows, options):
     sets = {r[0]: shingles(r[1]) for r in rows}
     want = brute_components(sets)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(docs, **options).collect()}
-    assert got == {i: (len(sets[i]), want[i]) for i in sets}
+    links = brute_links(sets)
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard.similar_groups(docs, **options).collect()}
+    assert got == {i: (len(sets[i]), want[i], links[i]) for i in sets}
+
+
+def thue_morse(n, odd=False):
+    return "".join("ab"[(bin(k).count("1") + odd) % 2] for k in range(n))
+
+
+def test_jaccard_shared_ids(spark):
+    """Rows that share a doc_id, or have none, are documents of their own; words that fool polynomial hashes stay apart."""
+    a, b, c = ("one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen", "alpha beta gamma delta epsilon zeta")
+    rows = [(5, a), (5, b), (3, b + " more"), (None, c), (8, c), (None, c + " "), (9, ""), (10, thue_morse(1024)), (11, thue_morse(1024, True)), (5, a)]
+    docs = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, n_links int, id int").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in jaccard.similar_groups(docs, percent=60).collect()), key=repr)
+    want = [(5, 4, 5, 1), (5, 4, 5, 1), (5, 2, 3, 1), (3, 3, 3, 1), (None, 2, 8, 2), (8, 2, 8, 2), (None, 2, 8, 2), (9, 0, 9, 0), (10, 1, 10, 0), (11, 1, 11, 0)]
+    assert got == sorted(want, key=repr)
 
 
 def test_jaccard_empty_and_repeated(spark, none, rows):
