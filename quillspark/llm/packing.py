@@ -3,33 +3,33 @@
 A document's ids are cut into pieces only if they exceed the capacity: the first piece takes the remainder, the rest are
 full. Full pieces are sequences of their own. The others are packed best-fit:
 
-* Pieces and gaps are kept in order of size as runs: (size, count). Sizes are whole numbers up to the capacity, so the
-  ordered lists hold at most ``capacity`` piece runs; their ranks stand for the single pieces.
-* In a round, a successor sweep goes through the gaps in descending order with the unplaced pieces in descending order:
-  each gap proposes the largest piece that fits it, and gaps of equal size that propose the same pieces are served by
-  rank, a run at a time. What is left of the gaps is the next round's gap list. A round opens new sequences for the
-  largest unplaced pieces only when no gap takes any.
-* Rounds end when all runs are placed. The result is a table of (size, first rank, last rank) -> (sequence, offset).
-
-Every piece then gets its rank among those of its size (two-level prefix sums, so that a size that holds a third of the
-pieces is spread) and finds its place by a broadcast join on size and rank with that table, whose rows are bounded by the
-capacity and the number of rounds and not by the documents.
+* Pieces are range-sorted by size, which gives each its rank. Pieces and gaps of one size are kept as runs (size, first
+  rank or sequence, count), so that a size that holds a third of the pieces is one row of a round.
+* A round deals pieces and gaps out by ranges of size; a gap goes to the range of its successor, the largest unplaced
+  piece that fits it. A task sweeps its range: pieces in descending order take the smallest gap that holds them, equal
+  ones by rank. What is left of the gaps goes to the next round.
+* Where no gap holds any piece, the round opens sequences for the largest pieces: one for each piece over half the
+  capacity, and else as many as the sizes that are left fill at least.
+* Rounds end when all runs are placed: each places pieces, moves gaps to lower ranges or opens sequences. The result is a
+  table of (size, ranks) -> (sequences, offset), to which pieces are joined by size and rank.
 
 Defined results: null and empty texts are one piece that holds only the end-of-text id; an empty table gives an empty
-result; repeated rows are packed one by one; null doc_ids are packed like others; other columns aren't read.
+result; repeated rows are packed one by one; null doc_ids are packed like others; a text of any length is cut into as many
+pieces as it needs; other columns aren't read. Which of equal pieces goes where may differ from run to run.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.base import materialize
+from quillspark.llm.base import drop_materialized, materialize, range_prefix
 
 END_OF_TEXT = b"<|endoftext|>"
 
@@ -38,9 +38,9 @@ class ByteBpe:
     """Token ids of the byte-level BPE in a tokenizers file, for many texts at once.
 
     Its pre-tokens start before each space that no white space follows, so a text's ids are those of the parts between
-    such spaces. Parts recur: each block's parts are told apart by a 64-bit hash from prefix sums and only those not
-    known yet are encoded, joined into one string. ranks: the same vocabulary as tiktoken ranks, which encode faster.
-    Texts that hold the special token's string, and texts over ``block`` bytes, go to the encoder whole.
+    such spaces. Parts recur: only those whose bytes are not known yet are encoded, joined into one string. ranks: the
+    same vocabulary as tiktoken ranks, which encode faster. Texts that hold the special token's string, and texts over
+    ``block`` bytes, go to the encoder whole; the ids are the same either way.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, block: int = 1 << 20, memory: int = 500_000):
@@ -63,10 +63,6 @@ class ByteBpe:
             for token, rank in self.special.get_vocab().items():
                 size[rank] = len(token)  # byte-level: a character for each byte
         self.size = size
-        rng = np.random.default_rng(7)
-        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-        base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
-        self.powers, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(block, x, np.uint64)), dtype=np.uint64) for x in (base, inverse))
         # What may follow a space that starts a part: not white space, nor a byte that starts a white-space character.
         self.starts = np.ones(256, bool)
         self.starts[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
@@ -75,7 +71,9 @@ class ByteBpe:
     def forget(self) -> None:
         import numpy as np
 
-        self.keys, self.first, self.count, self.pool = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.known: dict[bytes, int] = {}  # a part -> its number
+        self.held = 0
+        self.first, self.count, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def batch(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit bytes."""
@@ -116,47 +114,38 @@ class ByteBpe:
         opens[doc_starts[doc_starts < len(data)]] = True
         at = np.flatnonzero(opens)
         ends = np.append(at[1:], len(data))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.value[data] * self.powers[: len(data)], dtype=np.uint64)])
-        keys = (sums[ends] - sums[at]) * self.inverse[at]
-        keys ^= (ends - at).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        found, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, found)
-        known = place < len(self.keys)
-        known[known] = self.keys[place[known]] == found[known]
-        if not known.all():
-            self._learn(raw, found[~known], at[index[~known]], ends[index[~known]])
-            place = np.searchsorted(self.keys, found)
-        first, count = self.first[place][inverse], self.count[place][inverse]
+        parts = [raw[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+        new = list({part: None for part in parts if part not in self.known})
+        if new:
+            self._learn(new)
+        index = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
+        first, count = self.first[index], self.count[index]
         done = np.cumsum(count)
         ids = self.pool[np.repeat(first - (done - count), count) + np.arange(done[-1])].astype("<u4")
         per_part = np.append(0, done)
         from_, to = per_part[np.searchsorted(at, doc_starts)], per_part[np.searchsorted(at, doc_starts + lengths)]
         whole = ids.tobytes()
-        if len(self.keys) > self.memory:
+        if len(self.known) > self.memory or self.held > 64 << 20:
             self.forget()
         for a, b in zip(from_.tolist(), to.tolist(), strict=True):
             yield whole[4 * a : 4 * b]
 
-    def _learn(self, raw: bytes, keys, at, ends) -> None:
+    def _learn(self, new: list[bytes]) -> None:
         import numpy as np
 
-        spaced = np.frombuffer(raw, np.uint8)[at] == 32
-        parts = [raw[a:b] for a, b in zip(at[spaced].tolist(), ends[spaced].tolist(), strict=True)]
-        ids = np.array(self.encode(b"".join(parts).decode()), np.uint32)
+        spaced = [part for part in new if part[0] == 32]
+        ids = np.array(self.encode(b"".join(spaced).decode()), np.uint32)
         reach = np.append(0, np.cumsum(self.size[ids]))
-        bound = np.searchsorted(reach, np.append(0, np.cumsum([len(p) for p in parts])))
-        assert len(parts) == 0 or reach[-1] == sum(map(len, parts))
-        others = [np.array(self.encode(raw[a:b].decode()), np.uint32) for a, b in zip(at[~spaced].tolist(), ends[~spaced].tolist(), strict=True)]
-        sizes = np.array([len(x) for x in others], np.int64)
-        first = np.empty(len(keys), np.int64)
-        count = np.empty(len(keys), np.int64)
-        first[spaced], count[spaced] = bound[:-1], np.diff(bound)
-        first[~spaced], count[~spaced] = len(ids) + np.cumsum(sizes) - sizes, sizes
-        first += len(self.pool)
-        self.pool = np.concatenate([self.pool, ids, *others])
-        keys = np.concatenate([self.keys, keys])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.first, self.count = keys[order], np.concatenate([self.first, first])[order], np.concatenate([self.count, count])[order]
+        bound = np.searchsorted(reach, np.append(0, np.cumsum([len(p) for p in spaced])))
+        assert not spaced or reach[-1] == sum(map(len, spaced))
+        others = [part for part in new if part[0] != 32]
+        found = [np.array(self.encode(part.decode()), np.uint32) for part in others]
+        sizes = np.array([len(x) for x in found], np.int64)
+        self.known.update(zip(spaced + others, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.held += sum(map(len, new))
+        first = np.concatenate([bound[:-1], len(ids) + np.cumsum(sizes) - sizes]) + len(self.pool)
+        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, np.diff(bound), sizes])
+        self.pool = np.concatenate([self.pool, ids, *found])
 
 
 def tokenized(docs: DataFrame, capacity: int = 1024, end_id: int = 2, paths: tuple[str, str | None, str | None] | None = None, with_ids: bool = False) -> DataFrame:
@@ -204,79 +193,132 @@ def public_paths() -> tuple[str, str | None, str | None]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def best_fit_rounds(runs: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Place all pieces. runs: size -> count. Returns (size, first rank, last rank + 1, sequence of the first rank, offset) rows and the number of sequences."""
-    left = {size: n for size, n in runs.items() if n}
-    taken = dict.fromkeys(left, 0)
-    gaps: dict[int, list[list[int]]] = {}  # size of gap -> runs [first sequence, count]
-    table, sequences = [], 0
-    while left:
-        # Sweep: gaps and pieces in descending order; each gap takes the largest piece that fits.
-        placed: dict[int, list[list[int]]] = {}
-        progress = False
-        sizes = sorted(left, reverse=True)
-        at = 0
-        for gap in sorted(gaps, reverse=True):
-            while at < len(sizes) and (sizes[at] > gap or sizes[at] not in left):
-                at += 1
-            if at == len(sizes):
+def sweep(pieces: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], capacity: int) -> tuple[list, list, list]:
+    """Best fit within one range: pieces as runs (size, first rank, count) in descending order of size take the smallest gaps
+    that hold them, gaps as runs (size, first sequence, count) in ascending order; equal ones meet by rank, a run at a time.
+
+    Returns the pieces left, the gaps left, and placements (size, first rank, count, first sequence, offset).
+    """
+    held: dict[int, list[tuple[int, int]]] = {}
+    for size, first, count in sorted(gaps):
+        held.setdefault(size, []).append((first, count))
+    order = sorted(held)
+    left, placed = [], []
+    for size, rank, count in sorted(pieces, reverse=True):
+        while count:
+            at = bisect_left(order, size)
+            if at == len(order):
+                left.append((size, rank, count))
                 break
-            kept = []
-            for first, count in gaps[gap]:
-                while count and at < len(sizes):
-                    size = sizes[at]
-                    n = min(count, left[size])
-                    table.append((size, taken[size], taken[size] + n, first, capacity - gap))
-                    progress = True
-                    taken[size] += n
-                    left[size] -= n
-                    if gap > size:
-                        placed.setdefault(gap - size, []).append([first, n])
-                    first, count = first + n, count - n
-                    if not left[size]:
-                        del left[size]
-                        at += 1
-                if count:
-                    kept.append([first, count])
-            gaps[gap] = kept
-        gaps = {gap: spans for gap, spans in gaps.items() if spans}
-        for gap, spans in placed.items():
-            gaps.setdefault(gap, []).extend(spans)
-        smallest = min(left, default=0)
-        gaps = {gap: spans for gap, spans in gaps.items() if gap >= smallest}  # the rest are closed
-        if left and not progress:
-            size = max(left)
-            n = -(-left[size] // (capacity // size))  # as many as these pieces alone would fill
-            left[size] -= n
-            if not left[size]:
-                del left[size]
-            table.append((size, taken[size], taken[size] + n, sequences, 0))
-            taken[size] += n
-            if capacity > size:
-                gaps.setdefault(capacity - size, []).append([sequences, n])
-            sequences += n
-    return table, sequences
-
-
-def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
+            gap = order[at]
+            first, room = held[gap].pop()
+            n = min(count, room)
+            placed.append((size, rank, n, first, capacity - gap))
+            if room > n:
+                held[gap].append((first + n, room - n))
+            elif not held[gap]:
+                del held[gap]
+                del order[at]
+            if gap > size:
+                if gap - size not in held:
+                    held[gap - size] = []
+                    insort(order, gap - size)
+                held[gap - size].append((first, n))
+            rank, count = rank + n, count - n
+    return left, [(gap, first, count) for gap, runs in held.items() for first, count in runs], placed
+
+
+STATE = "kind int, size long, first long, count long, sequence long, offset long"
+PIECE, GAP, PLACED = range(3)
+
+
+def best_fit_rounds(runs: DataFrame, capacity: int, ranges: int = 8) -> tuple[list[DataFrame], int]:
+    """Place all pieces. runs (size below the capacity, count) -> frames with STATE rows, placements among them, and the number of sequences.
+
+    A round deals pieces and gaps out by ranges of size, a gap to the range of its successor, the largest unplaced piece that
+    fits it; each range is swept by a task of its own. The driver sees sums over ranges only.
+    """
+    spark = runs.sparkSession
+    state = materialize(runs.select(F.lit(PIECE).alias("kind"), "size", F.lit(0).cast("long").alias("first"), "count", F.lit(None).cast("long").alias("sequence"), F.lit(None).cast("long").alias("offset")))
+    cuts = state.selectExpr(f"percentile_approx(size, array({', '.join(str(k / ranges) for k in range(1, ranges))}), 10000) AS cuts").first()["cuts"] or []
+    cuts = sorted(set(cuts))
+    frames, sequences = [], 0
+    own = sum((F.when(F.col("size") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    while True:
+        now = state.filter(F.col("kind") != PLACED)
+        told = now.groupBy("kind", F.when(F.col("kind") == PIECE, own).otherwise(-1).alias("range")).agg(F.min("size").alias("least"), F.max("size").alias("most"), F.sum("count").alias("count"), F.sum(F.col("size") * F.col("count")).alias("total"), F.sum(F.when(2 * F.col("size") > capacity, F.col("count")).otherwise(0)).alias("big")).collect()  # a row for each range
+        pieces = sorted((r for r in told if r["kind"] == PIECE), key=lambda r: -r["range"])
+        if not pieces:
+            return frames, sequences
+        widest = max((r["most"] for r in told if r["kind"] == GAP), default=0)
+        opening: dict[int, tuple[int, int]] = {}  # range -> sequences to open for its largest pieces, the first one's number
+        if widest < pieces[-1]["least"]:
+            # Nothing fits any more. Pieces over half the capacity need a sequence each; the others at least their sum's worth.
+            wanted = sum(r["big"] for r in pieces) or -(-sum(r["total"] for r in pieces) // capacity)
+            for r in pieces:
+                n = min(wanted, r["count"])
+                if n:
+                    opening[r["range"]] = (n, sequences)
+                wanted, sequences = wanted - n, sequences + n
+        successor = F.lit(-1)  # gaps that hold no piece are closed
+        for r in reversed(pieces):
+            successor = F.when(F.col("size") >= r["least"], r["range"]).otherwise(successor)
+        placed = now.withColumn("range", F.when(F.col("kind") == PIECE, own).otherwise(successor)).filter("range >= 0")
+
+        def swept(batches: Iterator[pa.RecordBatch], opening=opening) -> Iterator[pa.RecordBatch]:
+            by_range: dict[int, tuple[list, list]] = {}
+            for batch in batches:
+                for range_, kind, *run in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                    by_range.setdefault(range_, ([], []))[kind].append(tuple(run))
+            out = []
+            for range_, (pieces, gaps) in by_range.items():
+                wanted, sequence = opening.get(range_, (0, 0))
+                if wanted:
+                    left = []
+                    for size, rank, count in sorted(pieces, reverse=True):
+                        n = min(wanted, count)
+                        if n:
+                            out.append((PLACED, size, rank, n, sequence, 0))
+                            out.append((GAP, capacity - size, sequence, n, None, None))
+                        if count > n:
+                            left.append((size, rank + n, count - n))
+                        wanted, sequence = wanted - n, sequence + n
+                    out += [(PIECE, *run, None, None) for run in left] + [(GAP, *run, None, None) for run in gaps]
+                    continue
+                left, gaps, placed = sweep(pieces, gaps, capacity)
+                out += [(PIECE, *run, None, None) for run in left] + [(GAP, *run, None, None) for run in gaps] + [(PLACED, *run) for run in placed]
+            columns = zip(*out, strict=True) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int32(), *[pa.int64()] * 5], strict=True)], [f.split()[0] for f in STATE.split(", ")])
+
+        dealt = placed.select("range", "kind", "size", "first", "count").repartitionByRange(ranges, "range").sortWithinPartitions("range", "kind", "size", "first")
+        state = materialize(dealt.mapInArrow(swept, STATE))
+        frames.append(state)
+
+
+def pack(pieces: DataFrame, capacity: int = 1024, broadcast_rows: int = 200_000) -> DataFrame:
     """pieces (from :func:`tokenized`, read several times) with sequence_id and offset."""
     spark = pieces.sparkSession
-    # Rank among the pieces of a size: by bucket of a hash first, then inside the bucket.
-    bucket = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1024)).cast("int")
-    parts = pieces.withColumn("bucket", bucket)
-    counts = parts.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
-    runs = {row["length"]: row["n"] for row in parts.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each size up to the capacity
-    full = runs.pop(capacity, 0)
-    table, sequences = best_fit_rounds(runs, capacity)
-    if full:
-        table.append((capacity, 0, full, sequences, 0))
-    places = spark.createDataFrame(table or [(0, 0, 0, 0, 0)], "length long, first long, last long, sequence long, offset long")
-    inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = parts.withColumn("inside", F.row_number().over(inside) - 1).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("inside") + F.col("before")).drop("inside", "before", "bucket")
-    found = (ranked["length"] == places["length"]) & (ranked["rank"] >= places["first"]) & (ranked["rank"] < places["last"])
-    # places: at most (2 * capacity) rows for each round, whatever the number of pieces.
-    return ranked.join(F.broadcast(places), found).select(*[ranked[c] for c in pieces.columns], (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("offset"))
+    numbered = pieces.withColumns({"one": F.lit(1).cast("long"), "row": F.monotonically_increasing_id()})
+    ranked = range_prefix(numbered, ["length", "doc_id", "piece", "start", "ids_crc32", "row"], {"rank": "one"})
+    runs = materialize(pieces.groupBy(F.col("length").alias("size")).agg(F.count(F.lit(1)).alias("count")))  # a row for each size up to the capacity
+    counts = sorted(map(tuple, runs.collect()))
+    frames, sequences = best_fit_rounds(runs.filter(F.col("size") < capacity), capacity)
+    before, at = {}, 0
+    for size, count in counts:
+        before[size], at = at, at + count
+    # Ranks go on from size to size.
+    starts = spark.createDataFrame(list(before.items()), "size long, before long")
+    full = spark.createDataFrame([(PLACED, capacity, 0, n, sequences, 0) for size, n in counts if size == capacity], STATE)
+    every = full
+    for frame in frames:
+        every = every.unionByName(frame.filter(F.col("kind") == PLACED))
+    places = materialize(every.join(F.broadcast(starts), "size").select("size", (F.col("first") + F.col("before")).alias("from"), (F.col("first") + F.col("before") + F.col("count")).alias("to"), "sequence", "offset").coalesce(1))
+    drop_materialized(runs, *frames)
+    # Rows of places are bounded by the capacity and the rounds and not by the pieces; beyond the limit they are joined by size.
+    side = F.broadcast(places) if places.count() <= broadcast_rows else places.hint("merge")
+    rank = F.col("rank") - 1
+    found = ranked.join(side, (F.col("length") == F.col("size")) & (rank >= F.col("from")) & (rank < F.col("to")))
+    return found.select(*pieces.columns, (F.col("sequence") + rank - F.col("from")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = 1024, end_id: int = 2, paths: tuple[str, str | None, str | None] | None = None) -> DataFrame:

@@ -279,14 +279,37 @@ def test_byte_bpe(texts):
     assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
-def test_best_fit_rounds():
-    table, sequences = packing.best_fit_rounds({60: 10, 40: 10, 30: 5, 10: 7}, 100)
-    used = collections.Counter()
-    for size, first, last, sequence, offset in table:
-        for k in range(last - first):
-            assert used[sequence + k] == offset
-            used[sequence + k] += size
-    assert max(used.values()) <= 100 and len(used) == sequences == 13
+def test_byte_bpe_adversarial(tokenizer):
+    """Parts that polynomial hashes modulo a power of two can't tell apart."""
+    texts = ["x " + thue_morse(1024), "x " + thue_morse(1024, True), "x " + thue_morse(2048), "x " + thue_morse(2048, True)]
+    coder = packing.ByteBpe(*packing.public_paths())
+    got = [np.frombuffer(x, "<u4").tolist() for x in coder.batch([t.encode() for t in texts])]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("runs", [{60: 10, 40: 10, 30: 5, 10: 7}, {k: 3 for k in range(1, 100)}, {1: 1000, 99: 2}, {51: 9, 50: 9}])
+def test_best_fit_rounds(spark, runs):
+    frames, sequences = packing.best_fit_rounds(spark.createDataFrame(list(runs.items()), "size long, count long"), 100)
+    used, ranks = collections.Counter(), collections.defaultdict(list)
+    for frame in frames:  # in the order of rounds
+        for r in sorted(frame.filter("kind = 2").collect(), key=lambda r: r["offset"]):
+            ranks[r["size"]] += range(r["first"], r["first"] + r["count"])
+            for k in range(r["count"]):
+                assert used[r["sequence"] + k] == r["offset"]
+                used[r["sequence"] + k] += r["size"]
+    assert {size: sorted(x) for size, x in ranks.items()} == {size: list(range(n)) for size, n in runs.items()}
+    assert max(used.values()) <= 100 and len(used) == sequences
+    # No worse than best fit in descending order, piece by piece, by more than one in fifty.
+    gaps, opened = [], 0
+    for size in sorted((size for size, n in runs.items() for _ in range(n)), reverse=True):
+        fits = [g for g in gaps if g >= size]
+        if fits:
+            gaps.remove(min(fits))
+            gaps.append(min(fits) - size)
+        else:
+            opened += 1
+            gaps.append(100 - size)
+    assert sequences <= 1.02 * opened
 
 
 def test_fingerprints(docs, rows, none, spark):
