@@ -1,31 +1,38 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded: lower case, homoglyphs of other scripts to Latin letters, digits and signs that stand for letters to
-those letters, all else that isn't a letter to a space. An Aho-Corasick automaton finds the lexicon's stems at word starts
-in one pass over the whole text, along with exception phrases; a stem inside an exception phrase does not count. The sum
-of the weights found, divided by a power of the text's length in words, goes through a logistic curve.
+those letters, all else that isn't a letter to a space, and runs of spaces to one. An Aho-Corasick automaton finds the
+lexicon's stems and words in one pass over the whole text, along with exception phrases; a stem inside an exception phrase
+does not count. The sum of the weights found, divided by a power of the text's length in words, goes through a logistic curve.
 
-The lexicon is learned from labelled texts: word stems whose texts are almost always toxic and too many for chance, first
-among all toxic texts and then among those that no stem explains yet. Their weights are smoothed log odds. Exception
-phrases are two-word phrases with a stem as second word that only occur in clean texts; callers can give more. Learning uses
-at most ``sample`` labelled texts, picked by a hash of doc_id; the score of a text never depends on labels or its id.
+The lexicon is learned from labelled texts: word stems and whole words of any length whose texts are almost always toxic and
+too many for chance, first among all toxic texts and then among those that no stem explains yet. Their weights are smoothed
+log odds. Exception phrases are two-word phrases with a stem in the second word that only occur in clean texts; callers can
+give more. Learning uses at most ``sample`` labelled rows (a bound on rows; their texts are read whole), picked by a hash of
+doc_id; the score of a text never depends on labels or its id.
 
 Defined results: null and empty texts get the score of a text without any stem; with no toxic label to learn from, every
-text gets score 0; rows are scored one by one, so repeated rows get equal scores; other columns stay as they are.
+text gets score 0; texts of any length are scored whole; of stems that tell equally well the longest is taken, then the
+last in order; rows are scored one by one, so repeated rows get equal scores; an empty table gives an empty result; other
+columns are not read and stay as they are.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.base import drop_materialized, materialize
+
 #: Letters of other scripts that look like Latin ones, and what stands for them.
 HOMOGLYPHS = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
@@ -33,7 +40,8 @@ HOMOGLYPHS = {
 }
 #: Digits and signs that stand for letters.
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "|": "l"}
-STEM_LENGTHS = range(4, 9)
+#: Lengths of the stems that are tried, besides whole words.
+STEM_LENGTHS = (4, 5, 6, 7, 8)
 
 
 class _Fold(dict):
@@ -56,8 +64,16 @@ def fold(text: str) -> str:
     return text.lower().translate(_FOLD)
 
 
+def line(folded: str) -> tuple[str, int]:
+    """The words with one space around each, and their number."""
+    words = folded.split()
+    return f" {' '.join(words)} ", len(words)
+
+
 def stems(folded: str) -> set[str]:
-    return {word[:k] for word in set(folded.split()) for k in STEM_LENGTHS if len(word) >= k}
+    """Stems, and whole words with a space at the end; both match at word starts only."""
+    words = set(folded.split())
+    return {word[:k] for word in words for k in STEM_LENGTHS if len(word) >= k} | {word + " " for word in words}
 
 
 @dataclass
@@ -70,13 +86,15 @@ class Lexicon:
     power: float = 0.25
 
     def automaton(self):
+        """Pattern -> (weight, length without a space at the end, length of that space, whether it is an exception)."""
         import ahocorasick
 
         found = ahocorasick.Automaton()
         for stem, weight in self.weights.items():
-            found.add_word(" " + stem, (weight, len(stem) + 1, False))
+            found.add_word(" " + stem, (weight, len(stem.rstrip()) + 1, stem.endswith(" "), False))
         for phrase in self.exceptions:
-            found.add_word(" " + " ".join(fold(phrase).split()), (0.0, len(" ".join(fold(phrase).split())) + 1, True))
+            words = " ".join(fold(phrase).split())
+            found.add_word(" " + words + " " * phrase.endswith(" "), (0.0, len(words) + 1, phrase.endswith(" "), True))
         found.make_automaton()
         return found
 
@@ -84,14 +102,21 @@ class Lexicon:
         """The length-normalised sum of weights."""
         if not text or not self.weights:
             return 0.0
-        folded = fold(text)
+        folded, words = line(fold(text))
         hits, covered = [], []
-        for end, (weight, size, exception) in automaton.iter(" " + folded):
-            (covered if exception else hits).append((end - size + 1, end + 1, weight))
+        for end, (weight, size, space, exception) in automaton.iter(folded):
+            end += 1 - space
+            (covered if exception else hits).append((end - size, end, weight))
         if not hits:
             return 0.0
-        total = sum(weight for a, b, weight in hits if not any(x <= a and b <= y for x, y, _ in covered))
-        return total / max(1, len(folded.split())) ** self.power
+        covered.sort()
+        starts, reach = [x[0] for x in covered], list(accumulate((x[1] for x in covered), max))
+        total = 0.0
+        for start, end, weight in hits:
+            at = bisect_right(starts, start)
+            if not at or reach[at - 1] < end:
+                total += weight
+        return total / max(1, words) ** self.power
 
     def probability(self, measure: float) -> float:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, self.slope * measure + self.offset))))
@@ -117,7 +142,8 @@ def bounded_sample(labelled: DataFrame, sample: int) -> DataFrame:
 def learn(docs: DataFrame, labelled: DataFrame, sample: int = 20_000, exceptions: tuple[str, ...] = ()) -> Lexicon:
     """docs (doc_id, text) and labelled (doc_id, label 0 or 1) -> lexicon. Uses at most ``sample`` labelled texts."""
     chosen = F.broadcast(bounded_sample(labelled, sample))  # at most ``sample`` rows of two numbers
-    texts = docs.select("doc_id", "text").join(chosen, "doc_id").filter("text is not null").select("label", "text")
+    # Read three times below.
+    texts = materialize(docs.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").filter("text is not null").select("label", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For a task: stems by number of clean texts; for each toxic text its stems."""
@@ -141,8 +167,6 @@ def learn(docs: DataFrame, labelled: DataFrame, sample: int = 20_000, exceptions
     def rows(n: list[int], found: list[list[str]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(found, pa.list_(pa.string()))], ["n", "stems"])
 
-    from quillspark.llm.base import materialize
-
     counted = materialize(texts.mapInArrow(count, "n long, stems array<string>"))
     toxic_texts = counted.filter("n = -1")
     toxic_number = toxic_texts.count()
@@ -167,12 +191,12 @@ def learn(docs: DataFrame, labelled: DataFrame, sample: int = 20_000, exceptions
     while True:
         # Chance that n texts with a stem are all among the unexplained toxic ones, over all candidates.
         least = max(3.0, (math.log(len(candidates)) + 2.3) / max(0.5, math.log(total / max(1, unexplained))))
-        best = max(((len(held_by & open_texts), -len(stem), stem) for stem, held_by in texts_by_stem.items() if stem not in weights), default=None)
+        best = max(((len(held_by & open_texts), not stem.endswith(" "), -len(stem), stem) for stem, held_by in texts_by_stem.items() if stem not in weights), default=None)
         if not best or best[0] < least:
             break
-        stem = best[2]
+        stem = best[-1]
         # The longest stem with the same texts is the most specific; its shorter forms add nothing.
-        longer = [s for s in texts_by_stem if s.startswith(stem) and len(texts_by_stem[s]) >= 0.98 * len(texts_by_stem[stem])]
+        longer = [s for s in texts_by_stem if s == stem or s.startswith(stem) and s[-1] != " " and len(texts_by_stem[s]) >= 0.98 * len(texts_by_stem[stem])]
         stem = max(longer, key=lambda s: (len(s), s))
         t, c = candidates[stem]
         weights[stem] = math.log((t + 0.5) / (toxic_number + 1)) - math.log((c + 0.5) / (clean_number + 1))
@@ -190,6 +214,7 @@ def learn(docs: DataFrame, labelled: DataFrame, sample: int = 20_000, exceptions
         return lexicon
     lexicon.exceptions = exceptions + _learned_exceptions(texts, lexicon)
     _calibrate(lexicon, texts)
+    drop_materialized(texts, counted)
     return lexicon
 
 
@@ -205,16 +230,16 @@ def _learned_exceptions(texts: DataFrame, lexicon: Lexicon, least: int = 5) -> t
         for batch in batches:
             out = set()
             for k, (label, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
-                folded = " " + fold(text.as_py())
-                for end, (_, size, exception) in automaton.iter(folded):
-                    before = folded[max(0, end - size - 40) : end - size + 1].split()
-                    if before and not exception:
-                        out.add((k, label, before[-1] + folded[end - size + 1 : end + 1]))
+                folded, _ = line(fold(text.as_py()))
+                for end, (_, size, space, exception) in automaton.iter(folded):
+                    at = end - space - size + 1  # of the space before the stem
+                    if at and not exception:
+                        out.add((k, label, folded[folded.rfind(" ", 0, at) + 1 : end + 1]))
             found = [x[1:] for x in out]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.string())], ["label", "phrase"])
 
     table = texts.mapInArrow(phrases, "label int, phrase string").groupBy("phrase").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
-    return tuple(sorted(r["phrase"] for r in table.filter(f"toxic = 0 and clean >= {least}").orderBy(F.desc("clean"), "phrase").limit(1000).collect()))
+    return tuple(sorted(r["phrase"] for r in table.filter(f"toxic = 0 and clean >= {least}").collect()))  # bounded by the sample
 
 
 def _calibrate(lexicon: Lexicon, texts: DataFrame) -> None:

@@ -367,6 +367,46 @@ def test_toxicity(spark):
     assert toxicity.learn(frame, frame.select("doc_id", "label").limit(0)).probability(0.0) < 0.5
 
 
+def plain_toxicity(lexicon, text):
+    """The score by a plain reading of the lexicon, without an automaton."""
+    words = toxicity.fold(text or "").split()
+    stretch = " " + " ".join(words) + " "
+
+    def places(pattern):
+        return [(m.start(), m.start() + len(pattern.rstrip())) for m in re.finditer(f"(?={re.escape(pattern)})", stretch)]
+
+    excepted = [p for phrase in lexicon.exceptions for p in places(re.sub(" +", " ", " " + toxicity.fold(phrase)))]
+    hits = [(p, w) for stem, w in lexicon.weights.items() for p in places(" " + stem)]
+    total = sum(w for (a, b), w in hits if not any(x <= a and b <= y for x, y in excepted))
+    x = lexicon.slope * total / max(1, len(words)) ** lexicon.power + lexicon.offset
+    return 1 / (1 + np.exp(-max(-40, min(40, x))))
+
+
+def test_toxicity_words_of_any_length(spark):
+    """Toxic words of three, nine and 300 letters, the longer ones with clean words of the same first eight; exceptions; a plain reading."""
+    rng = random.Random(14)
+    clean = ["blue", "house", "river", "garden", "letter", "abcdefghij", "y" * 299 + "x", "zap"]
+    rows = []
+    for k in range(900):
+        words = [rng.choice(clean) for _ in range(30)]
+        if k % 6 == 0:
+            words[rng.randrange(30)] = ["zog", "abcdefghk", "y" * 300][k // 6 % 3]
+        elif k % 30 == 25:
+            words[7:9] = ["dear", ["zog", "abcdefghk"][k // 30 % 2]]
+        rows.append((k, " ".join(words) if k % 10 else ", ".join(words), int(k % 6 == 0), 0.5, 1, "x"))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int, score double, predicted int, stem string").repartition(3)
+    lexicon = toxicity.learn(frame, frame.select("doc_id", "label").filter("doc_id % 5 <> 0"), exceptions=("Dear zog", "dear abcdefghk"))
+    from pyspark.sql import functions as F
+
+    odd = [(10_000, None), (10_001, ""), (10_002, "Z0G"), (10_003, "dear zog zog dear  zog"), (10_004, "zog blue " * 30_000)]
+    every = frame.select("doc_id", "text").unionByName(spark.createDataFrame(odd, "doc_id long, text string"))
+    got = {r.doc_id: r.s for r in every.select("doc_id", toxicity.score(F.col("text"), lexicon).alias("s")).collect()}
+    texts = {r[0]: r[1] for r in [*rows, *odd]}
+    assert all(got[i] == pytest.approx(plain_toxicity(lexicon, t), abs=1e-9) for i, t in texts.items())
+    assert all((got[r[0]] >= 0.5) == bool(r[2]) for r in rows) and got[10_002] >= 0.5
+    assert frame.limit(0).select(toxicity.score(F.col("text"), lexicon)).count() == 0
+
+
 def test_quality(spark):
     rng = random.Random(5)
     words = ["blue", "house", "river", "garden", "letter", "window"]
