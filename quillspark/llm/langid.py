@@ -5,39 +5,52 @@ left to right into phrases, each the longest string that occurs in the sample; a
 phrases has seen most of it. Phrases are normalised by the information each takes, log2 of the sample's length, over the
 text's length; the least wins. The score is the winner's lead: 1 - least / next.
 
+Texts are folded to lower-case letters with one space between words, as UTF-8 bytes, so that every letter of every script
+counts. Bytes that no sample holds are one symbol.
+
 All automata are one dense table (state, symbol) -> state, so that many texts step through all languages at once with one
-array operation a character. Long texts are parsed in stretches of ``stretch`` characters whose phrases are added up.
+array operation a byte. Long texts are parsed in stretches side by side. A stretch first starts a phrase of its own; then
+the state in which the one before ends is followed into it, until both readings are in the same state, and the difference
+of their phrases is made good. So the phrases are those of one parse of the whole text.
 
-Texts are folded to lower case with letters of a bounded alphabet, the most frequent ones of the samples; other letters
-share a symbol, and all else is a space. A language is learned from at most about ``texts`` texts, picked by a hash of
-doc_id, of which ``sample`` characters are kept; languages are few by nature, and their number bounds the table.
+A language is learned from ``sample`` bytes of pieces of ``piece`` characters: all labelled texts are cut into pieces, and
+those with the least hashes of their own text are taken, wherever they stand and whatever their doc_id. Languages are few by
+nature, and their number bounds the table: states of at most twice the sample, and a column for each byte that is in use.
 
 Defined results: a text that is null, empty or without a letter is ``und`` with score 0, as is every text if there is
-nothing to learn from; ties go to the language that sorts first; with one language its score is 1; repeated rows get equal results.
+nothing to learn from; ties go to the language that sorts first; with one language its score is 1; texts of any length are
+read whole; repeated rows get equal results; an empty table gives an empty result; only text and the columns to keep are read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import Counter
+import pickle
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillspark.llm.base import by_value
 
 
-class _Codes(dict):
-    """A table for str.translate from characters to symbols: 0 a space, 1 a letter outside the alphabet, then the alphabet."""
+_WORD = re.compile(r"[^\W\d_]+")
 
-    def __init__(self, alphabet: str):
-        super().__init__({ord(c): k + 2 for k, c in enumerate(alphabet)})
 
-    def __missing__(self, code: int) -> int:
-        self[code] = 1 if chr(code).isalpha() else 0
-        return self[code]
+def folded(text: str) -> bytes:
+    """Lower-case words of letters, one space between them, as UTF-8."""
+    words = _WORD.findall(text.lower())
+    if not all(map(str.isalpha, words)):  # numbers that aren't digits
+        words = "".join(c if c.isalpha() else " " for c in " ".join(words)).split()
+    return " ".join(words).encode("utf-8", "surrogatepass")
 
 
 def suffix_automaton(symbols: bytes, width: int) -> np.ndarray:
@@ -77,7 +90,8 @@ def suffix_automaton(symbols: bytes, width: int) -> np.ndarray:
 @dataclass
 class CrossParser:
     languages: list[str]
-    alphabet: str
+    #: A byte's symbol: 0 a space, 1 a byte that no sample holds.
+    codes: bytes
     width: int
     #: All languages' transitions; missing ones lead to -1.
     table: np.ndarray
@@ -87,60 +101,110 @@ class CrossParser:
     stretch: int = 2048
 
     @classmethod
-    def learn(cls, samples: dict[str, list[str]], sample: int = 16_000, alphabet: int = 62) -> CrossParser:
-        letters = Counter(c for texts in samples.values() for text in texts for c in text.lower()[:sample] if c.isalpha())
-        chosen = "".join(c for c, _ in sorted(letters.items(), key=lambda x: (-x[1], x[0]))[:alphabet])
-        codes, tables, starts, bits, names = _Codes(chosen), [], [], [], []
-        at = 0
-        for language in sorted(samples):
-            symbols = b"\0".join(encode(text, codes) for text in samples[language])[:sample]
-            if not symbols.strip(b"\0"):
+    def learn(cls, samples: dict[str, list[str]], sample: int = 16_000) -> CrossParser:
+        held = {language: b" ".join(filter(None, map(folded, samples[language])))[:sample] for language in sorted(samples)}
+        used = sorted({byte for text in held.values() for byte in text} - {32})
+        codes = bytearray([1] * 256)
+        codes[32] = 0
+        for k, byte in enumerate(used):
+            codes[byte] = k + 2
+        tables, starts, bits, names = [], [], [], []
+        at, width = 0, len(used) + 2
+        for language, text in held.items():
+            if not text:
                 continue
-            one = suffix_automaton(symbols, alphabet + 2)
+            one = suffix_automaton(text.translate(codes), width)
             tables.append(np.where(one >= 0, one + at, -1).astype(np.int32))
             names.append(language)
             starts.append(at)
-            bits.append(math.log2(len(symbols) + 1))
+            bits.append(math.log2(len(text) + 1))
             at += len(one)
-        table = np.concatenate(tables) if tables else np.empty((0, alphabet + 2), np.int32)
-        return cls(names, chosen, alphabet + 2, table.ravel(), np.array(starts, np.int32), np.array(bits))
+        table = np.concatenate(tables) if tables else np.empty((0, width), np.int32)
+        return cls(names, bytes(codes), width, table.ravel(), np.array(starts, np.int64), np.array(bits))
+
+    def encode(self, text: str) -> bytes:
+        return folded(text).translate(self.codes)
 
     def entropies(self, texts: list[bytes]) -> np.ndarray:
         """Bits a symbol for each encoded text and language."""
-        lanes: list[tuple[int, bytes]] = [(k, t[a : a + self.stretch]) for k, t in enumerate(texts) for a in range(0, len(t), self.stretch)]
-        lanes.sort(key=lambda x: -len(x[1]))
-        phrases = np.zeros((len(self.languages), len(texts)))
-        for a in range(0, len(lanes), 4096):
-            part = lanes[a : a + 4096]
-            sizes = np.array([len(t) for _, t in part])
-            grid = np.frombuffer(b"".join(t.ljust(int(sizes[0]), b"\0") for _, t in part), np.uint8).reshape(len(part), -1).T.astype(np.int64)
-            found = self._parse(grid, sizes)
-            np.add.at(phrases, (slice(None), [k for k, _ in part]), found)
+        owner, sizes = [], []
+        for k, t in enumerate(texts):
+            parts = max(1, -(-len(t) // self.stretch))
+            owner += [k] * parts
+            sizes += [self.stretch] * (parts - 1) + [len(t) - (parts - 1) * self.stretch]
+        owner, sizes = np.array(owner), np.array(sizes, np.int64)
+        flat = np.frombuffer(b"".join(texts), np.uint8)
+        offsets = np.cumsum(sizes) - sizes
+        n = len(self.languages)
+        count = np.zeros((n, len(owner)), np.int64)
+        end = np.zeros((n, len(owner)), np.int64)
+        order = np.argsort(-sizes, kind="stable")
+        for a in range(0, len(order), 4096):
+            part = order[a : a + 4096]
+            count[:, part], end[:, part] = self._parse(flat, offsets[part], sizes[part])
+        self._join(flat, offsets, sizes, owner, count, end)
+        phrases = np.zeros((n, len(texts)))
+        np.add.at(phrases, (slice(None), owner), count)
         lengths = np.array([max(1, len(t)) for t in texts])
         return (phrases * self.bits[:, None] / lengths).T
 
-    def _parse(self, grid: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases for each language and lane; lanes in descending order of size."""
-        n, width = len(self.languages), self.width
-        fresh = self.table.reshape(-1, width)[self.starts].astype(np.int64)  # after the first symbol of a phrase
-        fresh = np.where(fresh >= 0, fresh, self.starts[:, None])
-        state = np.repeat(self.starts.astype(np.int64)[:, None], len(sizes), 1)
-        count = np.zeros((n, len(sizes)), np.int32)
-        active = np.searchsorted(-sizes, -np.arange(len(grid)), side="left")  # lanes longer than t
-        for t in range(len(grid)):
+    def _step(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(state after a symbol, whether it begins a phrase) for each language and lane."""
+        after = self.table.take(state * self.width + symbols).astype(np.int64)
+        missing = after < 0  # a phrase ends, and the next starts with this symbol
+        begins = missing | (state == self.starts[:, None])
+        return np.where(missing, self._fresh[:, symbols], after), begins
+
+    @cached_property
+    def _fresh(self) -> np.ndarray:
+        """For each language the state after the first symbol of a phrase."""
+        fresh = self.table.reshape(-1, self.width)[self.starts].astype(np.int64)
+        return np.where(fresh >= 0, fresh, self.starts[:, None])
+
+    def _parse(self, flat: np.ndarray, offsets: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases, state at the end) for each language and lane, from the start state; lanes in descending order of size."""
+        state = np.repeat(self.starts[:, None], len(sizes), 1)
+        count = np.zeros(state.shape, np.int64)
+        longest = int(sizes[0]) if len(sizes) else 0
+        grid = np.zeros((len(sizes), longest), np.uint8)
+        for k, (a, n) in enumerate(zip(offsets.tolist(), sizes.tolist(), strict=True)):
+            grid[k, :n] = flat[a : a + n]
+        grid = grid.T.astype(np.int64)
+        active = np.searchsorted(-sizes, -np.arange(longest), side="left")  # lanes longer than t
+        for t in range(longest):
             m = active[t]
-            symbols = grid[t, :m]
-            after = self.table.take(state[:, :m] * width + symbols).astype(np.int64)
-            missing = after < 0  # a phrase ends, and the next starts with this symbol
-            count[:, :m] += missing | (state[:, :m] == self.starts[:, None])
-            state[:, :m] = np.where(missing, fresh[:, symbols], after)
-        return count
+            state[:, :m], begins = self._step(state[:, :m], grid[t, :m])
+            count[:, :m] += begins
+        return count, state
+
+    def _join(self, flat: np.ndarray, offsets: np.ndarray, sizes: np.ndarray, owner: np.ndarray, count: np.ndarray, end: np.ndarray) -> None:
+        """Mend count and end of stretches that began as if a phrase began there."""
+        begun = np.repeat(self.starts[:, None], len(owner), 1)  # the states that count and end come from
+        follows = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+        while len(follows):
+            lanes = follows[(end[:, follows - 1] != begun[:, follows]).any(0)]
+            if not len(lanes):
+                return
+            was, now = begun[:, lanes], end[:, lanes - 1]
+            begun[:, lanes] = now
+            t = 0
+            while len(lanes):
+                symbols = flat[offsets[lanes] + t].astype(np.int64)
+                was, took = self._step(was, symbols)
+                now, takes = self._step(now, symbols)
+                count[:, lanes] += takes.astype(np.int64) - took
+                t += 1
+                over = sizes[lanes] == t
+                if over.any():
+                    end[:, lanes[over]] = now[:, over]
+                open_ = ~over & (was != now).any(0)
+                if not open_.all():
+                    lanes, was, now = lanes[open_], was[:, open_], now[:, open_]
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        codes = _Codes(self.alphabet)
-        coded = [encode(t, codes) for t in texts]
+        coded = [self.encode(t) for t in texts]
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
-        known = [k for k, c in enumerate(coded) if c.strip(b"\0")]
+        known = [k for k, c in enumerate(coded) if c]
         if self.languages and known:
             bits = self.entropies([coded[k] for k in known])
             best = bits.argmin(1)
@@ -155,49 +219,54 @@ class CrossParser:
         return names, scores
 
 
-def encode(text: str, codes: _Codes) -> bytes:
-    """One symbol a letter, runs of all else as one 0."""
-    raw = text.lower().translate(codes).encode("latin-1")
-    return b"\0".join(part for part in raw.split(b"\0") if part)
+def learn(docs: DataFrame, sample: int = 16_000, piece: int = 256) -> CrossParser:
+    """docs (text, lang), the rows to learn from -> parser."""
+    texts = docs.filter("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task's different pieces of least hash, for each language about as many as make up the sample."""
+        held: dict[str, list] = {}  # a heap of (-hash, piece), the largest hash first, and its characters
+        seen: dict[str, set[int]] = {}
+        size: dict[str, int] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                heap, own = held.setdefault(lang, []), seen.setdefault(lang, set())
+                for a in range(0, len(text), piece):
+                    part = text[a : a + piece]
+                    h = int.from_bytes(hashlib.blake2b(part.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
+                    full = size.get(lang, 0) >= 2 * sample
+                    if full and h >= -heap[0][0] or h in own:
+                        continue
+                    letters = len(folded(part))
+                    if not letters:
+                        continue
+                    heappush(heap, (-h, part))
+                    own.add(h)
+                    size[lang] = size.get(lang, 0) + letters
+                    while size[lang] - (dropped := len(folded(heap[0][1]))) >= 2 * sample:
+                        own.discard(-heappop(heap)[0])
+                        size[lang] -= dropped
+        rows = [(lang, -h, part) for lang, heap in held.items() for h, part in heap]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string()))], ["lang", "hash", "piece"])
 
-def learn(docs: DataFrame, texts: int = 60, sample: int = 16_000) -> CrossParser:
-    """docs (doc_id, text, lang), the rows to learn from -> parser."""
-    docs = docs.filter("lang is not null and text is not null")
-    counts = {r["lang"]: r["n"] for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each language
-    if not counts:
-        return CrossParser.learn({})
-    every = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, -(-n // texts))])
-    chosen = docs.withColumn("turn", F.pmod(F.xxhash64("doc_id"), every[F.col("lang")])).filter("turn = 0").select("lang", "doc_id", "text")
+    pieces = texts.mapInArrow(least, "lang string, hash long, piece string").groupBy("lang", "hash").agg(F.min("piece").alias("piece"))
+    upto = F.sum(F.length("piece")).over(Window.partitionBy("lang").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1))  # a few rows for each task
+    chosen = pieces.withColumn("before", F.coalesce(upto, F.lit(0))).filter(F.col("before") < 2 * sample).drop("before")
     samples: dict[str, list[str]] = {}
-    for row in chosen.select("lang", "doc_id", F.substring("text", 1, sample).alias("text")).sort("lang", "doc_id", "text").collect():  # about ``texts`` texts for each language
-        samples.setdefault(row["lang"], []).append(row["text"])
-    return CrossParser.learn({lang: _spread(found, sample) for lang, found in samples.items()}, sample)
-
-
-def _spread(texts: list[str], sample: int) -> list[str]:
-    """Pieces of all texts that make up about the sample together."""
-    share = max(200, sample // max(1, len(texts)))
-    pieces = [t[:share] for t in texts]
-    left = sample - sum(map(len, pieces))
-    for t in texts:
-        if left <= 0:
-            break
-        pieces.append(t[share : share + left])
-        left -= len(pieces[-1])
-    return pieces
+    for row in chosen.sort("lang", "hash").collect():  # about twice the sample for each language
+        samples.setdefault(row["lang"], []).append(row["piece"])
+    return CrossParser.learn(samples, sample)
 
 
 def predict(docs: DataFrame, parser: CrossParser, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of docs with lang_pred and score."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(parser)
-    from pyspark.sql import types as T
-
+    shared = spark.sparkContext.broadcast(by_value(parser))
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
+        own = pickle.loads(shared.value)
         for batch in batches:
             size, a = 0, 0
             for b in range(len(batch)):

@@ -407,6 +407,54 @@ def test_toxicity_words_of_any_length(spark):
     assert frame.limit(0).select(toxicity.score(F.col("text"), lexicon)).count() == 0
 
 
+def plain_quality(model, text):
+    """The score by a plain reading: every token by itself."""
+    words = (text or "").split()
+    tokens = []
+    for k, w in enumerate(words):
+        start = next((i for i, c in enumerate(w) if re.match(r"\w", c)), len(w))
+        end = next((i for i in range(len(w), start, -1) if re.match(r"\w", w[i - 1])), start)
+        core = w[start:end]
+        kind = "digits" if core.isdigit() else "upper" if core.isupper() and len(core) > 1 else "title" if core[:1].isupper() else "lower" if core.isalpha() else "mixed" if core else "none"
+        tokens += [core.lower(), f"<{kind}{min(len(core), 20) // 4}", *([f"<{w[:start][:4]}_{w[end:][:4]}"] if start or end < len(w) else [])]
+        tokens += ["<again"] if k and words[k - 1] == w else []
+    rows = [model.vectors[model.vocabulary[t]].astype(float) for t in tokens if t in model.vocabulary]
+    x = np.append(np.mean(rows, 0) if rows else np.zeros(model.vectors.shape[1]), np.log1p(len(words)) / 10)
+    net = model.network
+    hidden = np.tanh((x - net.mean) / net.scale @ net.w1 + net.b1)
+    return 1 / (1 + np.exp(-(hidden @ net.w2 + net.b2) / net.temperature))
+
+
+def test_quality_long_words(spark):
+    """A word of 400 letters tells good from bad as any other would."""
+    rows = [(k, f"some words {'z' * 400 if k % 3 == 0 else 'y' * 400} and more", int(k % 3 == 0)) for k in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = quality.learn(frame, frame.select("doc_id", "label"))
+    assert "z" * 400 in model.vocabulary
+    got = model.scores([t for _, t, _ in rows], {})
+    assert all((s >= 0.5) == bool(y) for s, (_, _, y) in zip(got, rows, strict=True))
+
+
+def test_word_vectors_do_not_depend_on_cuts():
+    """Sums over texts that are cut within a text and read by several tasks are those of one reading."""
+    rng = random.Random(16)
+    texts = [" ".join(rng.choice(["ab", "Cd", "ef!", "12"]) for _ in range(n)) for n in (5, 100_050, 3)]
+    counts = sorted(quality.spread(texts).items())
+    indexed = quality.Indexed(counts, 3, 16, 3)
+    whole = indexed.sums(texts, 2)
+    assert np.allclose(whole, sum(indexed.sums([t], 2) for t in texts))
+    x = indexed.sums(["ab Cd ef! ab"], 2)
+    ids = [[indexed.vocabulary.get(f, -1) for f in quality.forms(w)] for w in "ab Cd ef! ab".split()]
+    want = np.zeros_like(x)
+    for i in range(4):
+        for j in range(4):
+            for a in ids[i]:
+                for b in ids[j]:
+                    if abs(i - j) <= 2 and a != b and a >= 0 and b >= 0:
+                        np.add.at(want, (a, indexed.place[b]), indexed.rarity[b] * indexed.sign[b] * (2 if i == j else 1))
+    assert np.allclose(x, want)
+
+
 def test_quality(spark):
     rng = random.Random(5)
     words = ["blue", "house", "river", "garden", "letter", "window"]
@@ -422,8 +470,10 @@ def test_quality(spark):
     got = {r.doc_id: r.s for r in frame.select("doc_id", quality.score(F.col("text"), model).alias("s")).collect()}
     right = [(got[k] >= 0.7) == bool(label) for k, _, label in rows if k % 3 == 0]
     assert sum(right) / len(right) > 0.95 and all(0 <= s <= 1 for s in got.values())
-    odd = spark.createDataFrame([(None,), ("",), ("x" * 100000,)], "text string").select(quality.score(F.col("text"), model)).collect()
-    assert all(0 <= r[0] <= 1 for r in odd)
+    odd = [(None,), ("",), ("x" * 100000,), ("Blue " + "(" * 20000 + "house" + "!" * 20000 + " blue blue",), ("river " * 30000,)]
+    found = spark.createDataFrame(odd, "text string").select("text", quality.score(F.col("text"), model)).collect()
+    assert all(r[1] == pytest.approx(plain_quality(model, r[0]), abs=1e-6) for r in found)
+    assert all(got[k] == pytest.approx(plain_quality(model, t), abs=1e-6) for k, t, _ in rows[:60])
     assert quality.learn(frame, frame.select("doc_id", "label").limit(0)).scores(["a"], {}).tolist() == [0.5]
 
 
@@ -440,18 +490,76 @@ def test_langid(spark, none):
     assert langid.predict(odd, langid.learn(none)).filter("lang_pred <> 'und' or score <> 0").count() == 0
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.text(alphabet="abc", min_size=1, max_size=40), st.text(alphabet="abcd", max_size=40))
-def test_cross_parsing(sample, text):
-    parser = langid.CrossParser.learn({"x": [sample], "y": ["c" + sample[::-1]]})
-    codes = langid._Codes(parser.alphabet)
-    if not langid.encode(text, codes).strip(b"\0"):
-        return
-    coded, own = langid.encode(text, codes), langid.encode(sample, codes)
+def plain_parse(text, sample):
+    """Phrases of a text, each the longest string that occurs in the sample (one symbol at least)."""
     phrases, at = 0, 0
-    while at < len(coded):
+    while at < len(text):
         n = 1
-        while at + n < len(coded) and coded[at : at + n + 1] in own and coded[at : at + n] in own:
+        while at + n < len(text) and text[at : at + n + 1] in sample:
             n += 1
         phrases, at = phrases + 1, at + n
-    assert parser.entropies([coded])[0][0] == pytest.approx(phrases * parser.bits[0] / len(coded))
+    return phrases
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abcé ", min_size=1, max_size=60), st.text(alphabet="abcdéя中 ", max_size=200) | st.builds(lambda x, n: x * n, st.text(alphabet="ab ", max_size=5), st.integers(1, 60)))
+def test_cross_parsing(sample, text):
+    samples = {"x": [sample, "a"], "y": ["c" + sample[::-1], "яб"]}
+    parser = langid.CrossParser.learn(samples)
+    parser.stretch = 7
+    own = langid.folded(text)
+    if own:
+        got = parser.entropies([parser.encode(text), parser.encode("ab " + text)])
+        for k, name in enumerate(parser.languages):
+            held = b" ".join(filter(None, map(langid.folded, samples[name])))
+            assert got[0][k] == pytest.approx(plain_parse(own, held) * parser.bits[k] / len(own))
+            other = langid.folded("ab " + text)
+            assert got[1][k] == pytest.approx(plain_parse(other, held) * parser.bits[k] / len(other))
+
+
+def plain_language(samples, text, sample=16_000):
+    own = langid.folded(text or "")
+    bits = []
+    for language in sorted(samples):
+        held = b" ".join(filter(None, map(langid.folded, samples[language])))[:sample]
+        bits.append((plain_parse(own, held) * np.log2(len(held) + 1) / max(1, len(own)), language))
+    bits.sort(key=lambda x: x[0])
+    return (bits[0][1], 1 - bits[0][0] / bits[1][0]) if own else ("und", 0.0)
+
+
+def test_langid_scripts(spark):
+    """Languages of many letters, and of one script each; letters that stand only late in texts; a plain reading."""
+    rng = random.Random(15)
+    han, kana, greek = [chr(0x4E00 + 7 * k) for k in range(900)], [chr(0x3041 + k) for k in range(80)], [chr(0x3B1 + k) for k in range(17)]
+    say = {"zh": lambda: "".join(rng.choice(han) for _ in range(40)), "ja": lambda: "".join(rng.choice(han[:300] + kana * 6) for _ in range(40)), "el": lambda: " ".join("".join(rng.choice(greek) for _ in range(5)) for _ in range(8)), "xx": lambda: "1 2 3 " * 400 + "abc abd abe " * 3}
+    rows = [(None if k % 3 else k, say[lang](), lang, 0.5, "u", True) for k, lang in enumerate(list(say) * 40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double, lang_pred string, held_out boolean").repartition(3)
+    parser = langid.learn(frame)
+    assert parser.languages == sorted(say)
+    fresh = [(k, say[lang](), lang) for k, lang in enumerate(list(say) * 10)] + [(100, None, "und"), (101, "", "und"), (102, "½ 3 _", "und"), (103, say["el"]() * 500, "el")]
+    got = {r.doc_id: r for r in langid.predict(spark.createDataFrame(fresh, "doc_id long, text string, score string"), parser).collect()}
+    assert all(got[k].lang_pred == lang for k, _, lang in fresh)
+    starts = [*parser.starts.tolist(), len(parser.table) // parser.width]
+    assert all(b - a <= 2 * 16_000 for a, b in zip(starts, starts[1:]))
+    # A plain reading of the same samples gives the same languages and scores.
+    small = {"de": ["der hund und die katze"], "en": ["the dog and the cat"], "el": ["ο σκύλος και η γάτα"]}
+    parser = langid.CrossParser.learn(small)
+    for text in ["the cat", "die katze und der hund " * 300, "γάτα και 7 the", "", None, "9"]:
+        names, scores = parser.predict([text or ""])
+        assert (names[0], scores[0]) == (plain_language(small, text)[0], pytest.approx(plain_language(small, text)[1]))
+
+
+def test_repeated_and_tied_rows(spark, none):
+    """op1, op2 and op9 on columns that clash with theirs, repeated rows, nulls everywhere and an empty table."""
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"good text number {k} here", "en", k % 2) for k in range(40)] + [(None, "same", None, None), (None, "same", None, None), (7, None, None, None), (None, None, None, None)]
+    frame = spark.createDataFrame([(*r, 1.0, True, 3) for r in rows], "doc_id long, text string, lang string, label int, score double, held_out boolean, n long")
+    labelled = frame.select("doc_id", "label").filter("label is not null")
+    for score in (toxicity.score(F.col("text"), toxicity.learn(frame, labelled)), quality.score(F.col("text"), quality.learn(frame, labelled))):
+        found = frame.select("doc_id", "text", score.alias("s")).collect()
+        assert len(found) == len(rows) and all(0 <= r.s <= 1 for r in found)
+        assert len({r.s for r in found if r.text == "same"}) == 1 and len({r.s for r in found if r.text is None}) == 1
+        assert none.select(score.alias("s")).count() == 0
+    assert quality.learn(none, labelled.limit(0)).constant == 0.5
+    assert langid.predict(none, langid.learn(frame)).count() == 0 and langid.predict(frame, langid.learn(frame)).count() == len(rows)
