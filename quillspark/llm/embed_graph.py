@@ -2,26 +2,31 @@
 
 1. Equal vectors form a class; the smallest vec_id stands for it, with the number of its members (a grouped aggregate).
 2. Centres are fitted by spherical k-means on a bounded sample (``fit_rows`` classes, by a hash of vec_id). Every class goes
-   to the shards of its ``overlap`` nearest centres. A shard of more than ``shard_rows`` rows is dealt into parts, and each
-   pair of parts becomes a shard, so that no task holds more than twice that.
-3. In a shard each vector's nearest neighbours are pruned robustly: a candidate is dropped if a kept neighbour is closer to
-   it, by the factor ``alpha``, than the vector itself. The adjacency lists of a vector's shards are united (one grouped
-   aggregate) and go back to its shards, where edges are followed both ways.
-4. In each of its shards a vector is searched for: a greedy search from the shard's medoid along the united lists, then
-   range expansion through every vector found within the threshold until no new one turns up.
-5. Pairs found are verified by cosine in double precision. A shard's search is checked against the products of its blocks
-   of rows, and where it missed a pair, theirs are taken: no cap on neighbours loses a pair within a shard. Pairs are
-   counted in the first shard that both share; a shard returns counts and, for components, one link to the smallest
-   member of each group, not all pairs.
-6. Recall is audited: the links of a sample are compared with brute force over all vectors. The sample grows from
-   ``audit_rows`` vectors until ``audit_links`` of its vectors have links. Where its recall, over links and as the mean of
-   its linked vectors, is below ``least_recall``, everything is done again with two more shards for each vector.
+   to the shards of its ``overlap`` nearest centres. A shard of more than ``split_rows`` rows gets centres of its own, fitted
+   on a bounded sample of its rows in a task, and its classes go to the nearest two, and so on; one of more than
+   ``shard_rows`` is dealt into parts, and each pair of parts becomes a shard, so that no task holds more than twice that.
+3. In a shard each vector's candidates, its nearest neighbours and some at growing ranks, are pruned robustly: a candidate is
+   dropped if a kept neighbour is closer to it, by the factor ``alpha``, than the vector itself. The adjacency lists of a
+   vector's shards are united (one grouped aggregate) into one flat graph.
+4. The graph is searched: a shard holds its vectors and, as a rim, the vectors outside that the united lists of vectors at
+   home in it lead to within range (a vector is at home in the first of its shards). For each of its vectors there is a
+   greedy search from the shard's medoid along the lists, both ways, then range expansion through every vector found within
+   the threshold until no new one turns up.
+5. Pairs found are verified by cosine in double precision. Those that share a shard are counted in the first that both share;
+   others, found over the rim, where a vector is at home. A shard returns counts and, for components, one link to the
+   smallest member of each group, not all pairs.
+6. Recall is audited twice. In a shard, the links of a few vectors are compared with products of rows; where one is missing
+   (as in dense groups whose links outnumber the lists), the shard's pairs are taken from such products. Over the whole table,
+   the links of a sample are compared with brute force over all vectors. The sample grows from ``audit_rows`` vectors until
+   ``audit_links`` of its vectors have links. Where its recall, over links and as the mean of its linked vectors, is below
+   ``least_recall``, everything is done again with two more shards for each vector.
 7. Where nine shards do not reach it either, or ``audit_most`` vectors hold too few links for a verdict, all vectors are
    compared, in pairs of blocks: exact, at a cost that grows with the square of their number.
 
 Only links with cosine >= ``threshold`` are returned. Defined results: vectors that are null, empty, zero or hold null or
-non-finite components link with nothing, and vectors of different lengths don't link; rows that repeat a vec_id are one
-vector (the one whose packed bytes are least); rows without a vec_id are left out; other columns are not read.
+non-finite components link with nothing, and vectors of different lengths don't link; rows that share a vec_id, or have
+none, are vectors of their own (a component's id is the smallest vec_id of its rows, null if none has one); equal vectors
+link; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,33 +38,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.base import materialize, shuffle_partitions
+from quillspark.llm.base import drop_materialized, materialize, shuffle_partitions
 from quillspark.llm.components import components
-
-VECTOR = "vec_id long, v binary"
-
+from quillspark.llm.suffix_dedup import numbered
 
 def unit_vectors(rows: DataFrame) -> DataFrame:
-    """rows (vec_id, embedding) -> (vec_id, v): the vectors that can link, as packed doubles of length 1; one row for each vec_id."""
+    """rows (vec_id, embedding) -> (vec_id, v): packed doubles of length 1, null where a vector can't link."""
+
+    def unit(x: list | None) -> bytes | None:
+        if not x or any(c is None for c in x):
+            return None
+        x = np.array(x, np.float64)
+        top = np.abs(x).max()
+        if not np.isfinite(top) or top == 0:
+            return None
+        x = x / top
+        return (x / np.sqrt(x @ x)).tobytes()
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
-            for vec_id, vector in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = vector.as_py()
-                if not x or any(c is None for c in x):
-                    continue
-                x = np.array(x, np.float64)
-                top = np.abs(x).max()
-                if not np.isfinite(top) or top == 0:
-                    continue
-                x = x / top
-                ids.append(vec_id)
-                out.append((x / np.sqrt(x @ x)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["vec_id", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([unit(x.as_py()) for x in batch.column(1)], pa.binary())], ["vec_id", "v"])
 
-    known = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter("vec_id is not null and embedding is not null")
-    return known.mapInArrow(packed, VECTOR).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(packed, "vec_id long, v binary")
 
 
 def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray:
@@ -94,31 +94,43 @@ def robust_prune(near: np.ndarray, sims: np.ndarray, x: np.ndarray, degree: int,
 class Shard:
     """Vectors of one shard with their adjacency lists."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, members: np.ndarray | None = None):
+        """members: the local numbers that are searched for; the others are the rim."""
         self.ids, self.x = ids, x
-        self.medoid = int(np.argmax(x @ x.mean(0)))
+        self.members = np.arange(len(ids)) if members is None else members
+        inner = x[self.members]
+        self.medoid = int(self.members[np.argmax(inner @ inner.mean(0))])
 
     def neighbours(self, candidates: int, degree: int, alpha: float) -> list[list[int]]:
-        """Pruned lists of local numbers."""
+        """Pruned lists of local numbers: of the nearest, and half as many of candidates at growing ranks beyond them."""
         n, lists = len(self.x), []
-        take = min(candidates, n - 1)
+        take, far = min(candidates, n - 1), []
+        rank = float(take)
+        while int(rank) < n - 1 and take > 0:
+            far.append(int(rank))
+            rank = max(rank + 1, rank * 1.15)
         for a in range(0, n, 512):
             sims = self.x[a : a + 512] @ self.x.T
             sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -2
             if take <= 0:
                 lists += [[] for _ in sims]
                 continue
-            near = np.argpartition(-sims, take - 1, 1)[:, :take]
+            ranked = np.argpartition(-sims, [take - 1, *far], 1)
+            near, beyond = ranked[:, :take], ranked[:, far]
             for k in range(len(sims)):
                 s = sims[k, near[k]]
                 order = np.lexsort((near[k], -s))
-                lists.append(robust_prune(near[k][order], s[order], self.x, degree, alpha))
+                own = robust_prune(near[k][order], s[order], self.x, degree, alpha)
+                if far:
+                    own += robust_prune(beyond[k], sims[k, beyond[k]], self.x, degree // 2, alpha)
+                lists.append(own)
         return lists
 
     def search(self, lists: list[np.ndarray], reach: float, width: int = 24) -> Iterator[np.ndarray]:
-        """For each vector, the local numbers found with a cosine of at least ``reach``: greedy search from the medoid, then range expansion."""
+        """For each member, the local numbers found with a cosine of at least ``reach``: greedy search from the medoid, then range expansion."""
         seen = np.full(len(self.x), -1, np.int64)
-        for q, v in enumerate(self.x):
+        for q in self.members.tolist():
+            v = self.x[q]
             seen[self.medoid] = q
             pool = [(float(self.x[self.medoid] @ v), self.medoid)]
             open_ = list(pool)
@@ -155,6 +167,12 @@ class Shard:
                 found = np.concatenate([found, front])
             yield found[found != q]
 
+    def complete(self, found: dict[int, np.ndarray], threshold: float, rows: int = 32) -> bool:
+        """Whether the links found for some members, spread over all, are those that products of rows give."""
+        some = self.members[np.unique(np.linspace(0, len(self.members) - 1, min(rows, len(self.members))).astype(np.int64))]
+        near = self.x[some] @ self.x.T >= threshold + 1e-9
+        near[np.arange(len(some)), some] = False
+        return all(np.isin(np.flatnonzero(row), found[q]).all() for q, row in zip(some.tolist(), near, strict=True))
 
     def pairs(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of local numbers (smaller, larger) with a cosine of at least ``threshold``, by products of blocks of rows."""
@@ -196,7 +214,51 @@ def _load(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, pa.Table
     return ids[order], np.frombuffer(b"".join(raw), np.float64).reshape(len(raw), -1), held
 
 
-def _shards(classes: DataFrame, overlap: int, shard_rows: int, fit_rows: int) -> DataFrame:
+def _nearest(raw: list[bytes], centres: dict[int, np.ndarray], take: int) -> list[list[int]]:
+    """For each packed vector the numbers of its nearest centres among those of its length."""
+    out: list[list[int]] = [[0]] * len(raw)
+    for w in {len(v) for v in raw} & centres.keys():
+        rows = [n for n, v in enumerate(raw) if len(v) == w]
+        sims = np.frombuffer(b"".join(raw[n] for n in rows), np.float64).reshape(len(rows), -1) @ centres[w].T
+        k = min(take, sims.shape[1])
+        for n, own in zip(rows, np.argpartition(-sims, k - 1, 1)[:, :k].tolist(), strict=True):
+            out[n] = sorted(own)
+    return out
+
+
+def _split(cells: DataFrame, sizes: DataFrame, split_rows: int, shard_rows: int, most: int = 256) -> DataFrame:
+    """cells (cell, rep, weight, v) of which those of more than split_rows rows (sizes: cell, n) are divided among centres of their own."""
+    big = sizes.filter(F.col("n") > split_rows).withColumn("k", F.least(F.lit(most), F.ceil(4 * F.col("n") / shard_rows)).cast("int"))
+    held = cells.join(big, "cell")
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _by_shard(batches):
+            table = pa.Table.from_batches(rows)
+            x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(table.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([table.column("cell").slice(0, 1).combine_chunks(), pa.array([fit_centres(x, table.column("k")[0].as_py()).tobytes()], pa.binary())], ["cell", "centres"])
+
+    # About 8 rows for each centre, by a hash of vec_id.
+    sample = held.filter(F.pmod(F.xxhash64("rep", F.lit(2)), F.greatest(F.lit(1), F.floor(F.col("n") / (8 * F.col("k"))).cast("long"))) == 0)
+    centres = materialize(sample.select("cell", "v", "k", F.xxhash64("rep").alias("h")).repartition("cell").sortWithinPartitions("cell", "h").mapInArrow(fit, "cell string, centres binary"))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells_, reps, weights, vectors, packed = (batch.column(k).to_pylist() for k in range(5))
+            out, at = [], {}
+            for n, cell in enumerate(cells_):
+                at.setdefault(cell, []).append(n)
+            for cell, rows in at.items():
+                w = len(vectors[rows[0]])
+                near = _nearest([vectors[n] for n in rows], {w: np.frombuffer(packed[rows[0]], np.float64).reshape(-1, w // 8)}, 2)
+                out += [(f"{cell}.{c}", reps[n], weights[n], vectors[n]) for n, own in zip(rows, near, strict=True) for c in own]
+            columns = zip(*out, strict=True) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["cell", "rep", "weight", "v"])
+
+    parts = cells.join(centres, "cell").select("cell", "rep", "weight", "v", "centres").mapInArrow(assign, "cell string, rep long, weight long, v binary")
+    return materialize(cells.join(centres.select("cell"), "cell", "left_anti").unionByName(parts))
+
+
+def _shards(classes: DataFrame, overlap: int, shard_rows: int, fit_rows: int, split_rows: int, levels: int = 4) -> DataFrame:
     """(shard, shards, rep, weight, v): each class in each of its shards."""
     spark = classes.sparkSession
     total = classes.count()
@@ -204,31 +266,27 @@ def _shards(classes: DataFrame, overlap: int, shard_rows: int, fit_rows: int) ->
     sample = classes.orderBy(F.xxhash64("rep")).limit(min(total, fit_rows)).select("v").toPandas()["v"] if k > 1 else []
     widths = {len(v) for v in sample}
     centres = {w: fit_centres(np.frombuffer(b"".join(v for v in sample if len(v) == w), np.float64).reshape(-1, w // 8), min(k, fit_rows // 8)) for w in widths}
-    shared = spark.sparkContext.broadcast(centres)  # at most fit_rows / 8 centres
+    shared = spark.sparkContext.broadcast(centres)  # at most fit_rows / 8 centres; larger shards get centres of their own
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(2).to_pylist()
-            shards: list[list[int]] = [[]] * len(raw)
-            for w in {len(v) for v in raw}:
-                rows = [n for n, v in enumerate(raw) if len(v) == w]
-                if w in shared.value:
-                    x = np.frombuffer(b"".join(raw[n] for n in rows), np.float64).reshape(len(rows), -1)
-                    sims = x @ shared.value[w].T
-                    take = min(overlap, sims.shape[1])
-                    nearest = np.argpartition(-sims, take - 1, 1)[:, :take]
-                else:
-                    nearest = np.zeros((len(rows), 1), np.int64)
-                for n, own in zip(rows, nearest.tolist(), strict=True):
-                    shards[n] = sorted(w * (1 << 32) + s for s in own)
-            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.list_(pa.int64())), *batch.columns], ["cells", "rep", "weight", "v"])
+            names = [[f"{len(v)}-{c}" for c in own] for v, own in zip(raw, _nearest(raw, shared.value, overlap), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.list_(pa.string())), *batch.columns], ["cells", "rep", "weight", "v"])
 
-    placed = materialize(classes.select("rep", "weight", "v").mapInArrow(assign, "cells array<long>, rep long, weight long, v binary"))
-    sizes = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("parts"))
+    cells = materialize(classes.select("rep", "weight", "v").mapInArrow(assign, "cells array<string>, rep long, weight long, v binary").select(F.explode("cells").alias("cell"), "rep", "weight", "v"))
+    for _ in range(levels):
+        sizes = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
+        if sizes.filter(F.col("n") > split_rows).isEmpty():
+            break
+        cells, before = _split(cells, sizes, split_rows, shard_rows), cells
+        drop_materialized(before)
+    # What is still above the size, as a dense ball that no centres divide, is dealt into pairs of parts.
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("parts"))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    cells = placed.select("rep", F.explode("cells").alias("cell")).join(sizes, "cell").select("rep", "cell", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    shards = cells.select("rep", F.concat_ws("/", "cell", F.least("part", "other"), F.greatest("part", "other")).alias("shard")).groupBy("rep").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
-    return placed.drop("cells").join(shards, "rep").select(F.explode("shards").alias("shard"), "shards", "rep", "weight", "v")
+    dealt = cells.select("rep", "cell").join(sizes, "cell").select("rep", "cell", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    shards = dealt.select("rep", F.concat_ws("/", "cell", F.least("part", "other"), F.greatest("part", "other")).alias("shard")).groupBy("rep").agg(F.sort_array(F.collect_set("shard")).alias("shards"))
+    return classes.join(shards, "rep").select(F.explode("shards").alias("shard"), "shards", "rep", "weight", "v")
 
 
 def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -244,28 +302,36 @@ def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         label = least
 
 
-def _find(classes: DataFrame, threshold: float, overlap: int, shard_rows: int, fit_rows: int, candidates: int, degree: int, alpha: float) -> DataFrame:
+def _find(classes: DataFrame, threshold: float, overlap: int, shard_rows: int, fit_rows: int, split_rows: int, candidates: int, degree: int, alpha: float) -> DataFrame:
     """(rep, n_links, other): for each class and shard the links counted there (members), and the smallest member of its group."""
-    parts = 2 * shuffle_partitions(classes.sparkSession)
-    sharded = materialize(_shards(classes, overlap, shard_rows, fit_rows).repartition(parts, "shard").sortWithinPartitions("shard"))
+    parts, reach = 2 * shuffle_partitions(classes.sparkSession), threshold - 0.04
+    sharded = materialize(_shards(classes, overlap, shard_rows, fit_rows, split_rows).repartition(parts, "shard").sortWithinPartitions("shard"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_shard(batches):
             ids, x, _ = _load(held)
-            lists = Shard(ids, x).neighbours(candidates, degree, alpha)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[m].tolist() for m in lists], pa.list_(pa.int64()))], ["rep", "near"])
+            near = Shard(ids, x).neighbours(candidates, degree, alpha)
+            within = [[bool(x[k] @ x[m] >= reach) for m in own] for k, own in enumerate(near)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([ids[m].tolist() for m in near], pa.list_(pa.int64())), pa.array(within, pa.list_(pa.bool_()))], ["rep", "near", "within"])
 
     def grouped(df: DataFrame) -> DataFrame:
         return df.repartition(parts, "shard").sortWithinPartitions("shard")
 
-    lists = grouped(sharded.select("shard", "rep", "v")).mapInArrow(build, "rep long, near array<long>")
-    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # at most ``degree`` for each shard of a vector
+    lists = grouped(sharded.select("shard", "rep", "v")).mapInArrow(build, "rep long, near array<long>, within array<boolean>")
+    edges = F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("near", "within"))))  # at most 1.5 * ``degree`` for each shard of a vector
+    united = materialize(lists.groupBy("rep").agg(edges.alias("edges")).select("rep", F.transform("edges", lambda e: e["near"]).alias("near"), F.transform(F.filter("edges", lambda e: e["within"]), lambda e: e["near"]).alias("within")))
+    inner = sharded.join(united.select("rep", "near"), "rep").select("shard", "shards", "rep", "weight", "v", "near", F.lit(False).alias("rim"))
+    # The rim: edges of range from vectors at home in a shard to vectors outside of it.
+    homes = sharded.select("rep", "shards", "weight", "v", F.element_at("shards", 1).alias("home")).filter(F.col("shard") == F.col("home")).drop("home")
+    leads = homes.select("rep", F.element_at("shards", 1).alias("home")).join(united.select("rep", F.explode("within").alias("to")), "rep").select("home", "to").distinct()
+    rim = homes.join(leads, F.col("rep") == F.col("to")).filter(~F.array_contains("shards", F.col("home"))).select(F.col("home").alias("shard"), "shards", "rep", "weight", "v", F.array().cast("array<long>").alias("near"), F.lit(True).alias("rim"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_shard(batches):
             ids, x, rows = _load(held)
             n = len(ids)
             name, weight, shards = rows.column("shard")[0].as_py(), np.array(rows.column("weight").to_pylist(), np.int64), rows.column("shards").to_pylist()
+            outside = np.array(rows.column("rim").to_pylist(), bool)
             left, right = [], []
             for k, near in enumerate(rows.column("near").to_pylist()):
                 near = np.array(near, np.int64)
@@ -277,25 +343,37 @@ def _find(classes: DataFrame, threshold: float, overlap: int, shard_rows: int, f
             edges = np.unique(np.concatenate([left * n + right, right * n + left]))
             bounds = np.searchsorted(edges, np.arange(n + 1) * n)
             lists = [edges[bounds[k] : bounds[k + 1]] - k * n for k in range(n)]
-            shard = Shard(ids, x)
-            found = list(shard.search(lists, threshold - 0.04))
-            left = np.repeat(np.arange(n), [len(f) for f in found])
-            right = np.concatenate(found) if found else left
-            pairs = np.unique(np.minimum(left, right) * n + np.maximum(left, right))
-            left, right = pairs // n, pairs % n
-            real = np.einsum("ij,ij->i", x[left], x[right]) >= threshold
-            left, right = left[real], right[real]
-            every = shard.pairs(threshold)
-            if len(every[0]) > len(left):  # the lists hold too few neighbours, as in a dense group
-                left, right = every
+            shard = Shard(ids, x, np.flatnonzero(~outside))
+            found = dict(zip(shard.members.tolist(), shard.search(lists, reach), strict=True))
+            left = np.repeat(shard.members, [len(f) for f in found.values()])
+            right = np.concatenate(list(found.values()))
+            if shard.complete(found, threshold):
+                pairs = np.unique(np.minimum(left, right) * n + np.maximum(left, right))
+                left, right = pairs // n, pairs % n
+                real = np.einsum("ij,ij->i", x[left], x[right]) >= threshold
+                left, right = left[real], right[real]
+            else:  # the audit missed links: the lists hold too few neighbours, as in a dense group
+                left, right = shard.pairs(threshold)
+                inside = ~(outside[left] & outside[right])
+                left, right = left[inside], right[inside]
             label = _labels(n, left, right)
-            # Counted where the two meet first, so that no pair counts twice.
-            first = np.array([min(set(shards[a]) & set(shards[b])) == name for a, b in zip(left.tolist(), right.tolist(), strict=True)], bool)
-            count = np.bincount(left[first], weight[right[first]], n) + np.bincount(right[first], weight[left[first]], n)
+            # Counted where the two meet first, and where a vector is at home if they meet nowhere, so that no pair counts twice.
+            count = np.zeros(n, np.int64)
+            sets = list(map(set, shards))
+            for a, b in zip(left.tolist(), right.tolist(), strict=True):
+                if both := sets[a] & sets[b]:
+                    if min(both) == name:
+                        count[a] += weight[b]
+                        count[b] += weight[a]
+                else:
+                    if shards[a][0] == name:
+                        count[a] += weight[b]
+                    if shards[b][0] == name:
+                        count[b] += weight[a]
             linked = np.flatnonzero((count > 0) | (label != np.arange(n)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(count[linked].astype(np.int64)), pa.array(ids[label[linked]])], ["rep", "n_links", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(count[linked]), pa.array(ids[label[linked]])], ["rep", "n_links", "other"])
 
-    return grouped(sharded.join(united, "rep").select("shard", "shards", "rep", "weight", "v", "near")).mapInArrow(search, "rep long, n_links long, other long")
+    return grouped(inner.unionByName(rim)).mapInArrow(search, "rep long, n_links long, other long")
 
 
 def _find_all(classes: DataFrame, threshold: float, block_rows: int) -> DataFrame:
@@ -366,22 +444,26 @@ def audit(classes: DataFrame, found: DataFrame, threshold: float, audit_rows: in
         size = min(8 * size, audit_most)
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, overlap: int = 3, shard_rows: int = 1000, fit_rows: int = 20_000, candidates: int = 48, degree: int = 16, alpha: float = 1.2, audit_rows: int = 256, least_recall: float = 0.97, audit_links: int = 200, audit_most: int = 16_384) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.9, overlap: int = 3, shard_rows: int = 1000, fit_rows: int = 20_000, split_rows: int = 8000, candidates: int = 48, degree: int = 16, alpha: float = 1.2, audit_rows: int = 256, least_recall: float = 0.97, audit_links: int = 200, audit_most: int = 16_384) -> DataFrame:
     """rows (vec_id, embedding) -> a row each: vec_id, n_links, component_id."""
-    vectors = materialize(unit_vectors(rows))
-    classes = materialize(vectors.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")).select("rep", "weight", "v"))
+    packed = materialize(unit_vectors(rows))
+    vectors = numbered(packed.withColumn("text", F.hex("v")), "id", doc_id="vec_id", repeats_are_one=False).drop("text")
+    classes = vectors.filter("v is not null").groupBy("v").agg(F.min(F.struct("id", "vec_id")).alias("first"), F.count(F.lit(1)).alias("weight"))
+    classes = materialize(classes.select(F.col("first.id").alias("rep"), F.col("first.vec_id").alias("name"), "weight", "v"))
     while True:
-        found = materialize(_find(classes, threshold, overlap, shard_rows, fit_rows, candidates, degree, alpha))
+        found = materialize(_find(classes.drop("name"), threshold, overlap, shard_rows, fit_rows, split_rows, candidates, degree, alpha))
         recall = audit(classes, found, threshold, audit_rows, audit_links, audit_most)
         if recall is not None and recall >= least_recall:
             break
+        drop_materialized(found)
         if recall is None or overlap >= 9:
             found = materialize(_find_all(classes, threshold, 2 * shard_rows))
             break
         overlap += 2
     joined = components(found.select(F.col("rep").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "rep")
     links = found.groupBy("rep").agg(F.sum("n_links").alias("n_links"))
-    by_class = classes.join(links, "rep", "left").join(joined, "rep", "left").select("v", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "rep").alias("component_id"))
-    by_vector = vectors.join(by_class, "v").select(F.col("vec_id").alias("_id"), "n_links", "component_id")
-    known = rows.select(F.col("vec_id").cast("long").alias("vec_id")).filter("vec_id is not null")
-    return known.join(by_vector, F.col("vec_id") == F.col("_id"), "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    roots = classes.select(F.col("rep").alias("root"), F.col("name").alias("component_id"))
+    by_class = classes.join(links, "rep", "left").join(joined, "rep", "left").withColumn("root", F.coalesce("root", "rep")).join(roots, "root")
+    by_class = by_class.select("v", (F.coalesce("n_links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component_id", F.lit(True).alias("known"))
+    every = vectors.select("vec_id", "v").join(by_class, "v", "left")
+    return every.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("known"), F.col("component_id")).otherwise(F.col("vec_id")).alias("component_id"))

@@ -50,7 +50,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = embed_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
-    return found.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
