@@ -8,8 +8,9 @@ of ``SPAN`` code points (shorter texts: the whole text as one span). Equal texts
 two fingerprints estimates the Jaccard similarity of their span sets: the share of the least hashes of both that both hold.
 
 Defined results: null texts are empty; empty texts are like each other (1) and unlike all others (0); rows that repeat a
-doc_id are documents of their own, ordered by text among each other; a null doc_id comes last in descending order; a
-table of one document is its own next; other columns are not read.
+doc_id, or have none, are documents of their own, in descending order of text among each other; a null doc_id comes last in
+descending order; the only document of a table is its own next; an empty table gives an empty result; a text is hashed
+whole, in about 50 bytes of arrays for each code point; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.base import shuffle_partitions
+from quillspark.llm.suffix_dedup import numbered
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1000003, 911382323)
@@ -120,39 +122,54 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+GROUP = 64
+
+
 def _in_ranges(key: Column, cuts: list[int], pieces: int) -> Column:
-    """A range number that falls as the key rises: between cut points, then in ``pieces`` of equal width."""
-    at = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= key)) - 1
-    low, high = (F.element_at(F.array(*[F.lit(float(c)) for c in xs]), at + 1) for xs in (cuts, [*cuts[1:], cuts[-1] + 1]))
-    inner = F.floor((key.cast("double") - low) / F.greatest(high - low, F.lit(1.0)) * pieces)
-    return (-(at * pieces + F.least(F.greatest(inner, F.lit(0)), F.lit(pieces - 1)))).cast("long")
+    """A range number that falls as the key rises: between sorted cut points, then in ``pieces`` of equal width.
+
+    The cut point is found in two steps, among every GROUP-th and then among those that follow it.
+    """
+    rows = [cuts[k : k + GROUP] for k in range(0, len(cuts), GROUP)]
+
+    def longs(values: list[int]) -> Column:
+        return F.array(*map(F.lit, values)).cast("array<long>")
+
+    def passed(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: c <= key))
+
+    group = F.greatest(passed(longs([r[0] for r in rows])), F.lit(1))
+    low = F.element_at(F.array(*map(longs, rows)), group)
+    at = (group - 1) * GROUP + F.greatest(passed(low), F.lit(1))
+    every = F.array(*[F.lit(float(c)) for c in [*cuts, cuts[-1] + 1]])  # doubles: differences can exceed a long
+    begin, end = F.element_at(every, at.cast("int")), F.element_at(every, (at + 1).cast("int"))
+    inner = F.floor((key.cast("double") - begin) / F.greatest(end - begin, F.lit(1.0)) * pieces)
+    inner = F.greatest(F.least(inner, F.lit(pieces - 1)), F.lit(0))
+    return (-((at - 1) * pieces + inner)).cast("long")
 
 
-def edited_fingerprints(docs: DataFrame) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, most_cuts: int = 4096) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next and common_prefix.
 
     The next document in descending order of doc_id comes from the same partition: documents are dealt by ranges of
-    doc_id, and each range also gets a copy of the document that follows it.
+    doc_id (quantiles, ``most_cuts`` at most, cut further into equal widths where more are needed), and each range also gets
+    a copy of the document that follows it.
     """
     spark = docs.sparkSession
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = numbered(docs, "id", repeats_are_one=False, nulls_first=True)
     parts = shuffle_partitions(spark)
-    ids = docs.select(key.alias("key"))
-    cuts = min(64, parts)
-    found = ids.select(F.expr(f"percentile_approx(key, array({', '.join(str(k / cuts) for k in range(cuts))}), 1000)").alias("q"), F.min("key").alias("least")).first()
-    if found["least"] is None:
-        cut_points = [0]
-    else:
-        cut_points = sorted({found["least"], *found["q"]})
-    part = _in_ranges(key, cut_points, -(-4 * parts // len(cut_points)))
-    firsts = sorted((r["part"], r["first"]) for r in ids.select(_in_ranges(F.col("key"), cut_points, -(-4 * parts // len(cut_points))).alias("part"), "key").groupBy("part").agg(F.max("key").alias("first")).collect())  # a row for each range
+    ids = docs.select("id")
+    count = min(most_cuts, 4 * parts)
+    found = ids.select(F.expr(f"percentile_approx(id, array({', '.join(str(k / count) for k in range(count))}), {10 * count})").alias("q"), F.min("id").alias("least")).first()  # a number for each range
+    cut_points = [0] if found["least"] is None else sorted({found["least"], *found["q"]})
+    part = _in_ranges(F.col("id"), cut_points, -(-4 * parts // count))
+    firsts = sorted((r["part"], r["first"]) for r in ids.select(part.alias("part"), "id").groupBy("part").agg(F.max("id").alias("first")).collect())  # a row for each range
     follows = [(p, first) for (p, _), (_, first) in zip(firsts, [*firsts[1:], *firsts[:1]], strict=True)]
-    borders = spark.createDataFrame(follows, "part long, key long")  # a row for each range
-    placed = docs.select("doc_id", "text", part.alias("part"), F.lit(False).alias("copy"))
-    copies = docs.withColumn("key", key).join(F.broadcast(borders), "key").groupBy("part", "key").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    every = placed.unionByName(copies.select("doc_id", "text", "part", F.lit(True).alias("copy")))
-    ordered = every.repartition(2 * parts, "part").sortWithinPartitions("part", "copy", F.desc_nulls_last("doc_id"), "text").select("doc_id", "text", "part", "copy")
+    borders = spark.createDataFrame(follows, "part long, id long")  # a row for each range
+    placed = docs.select("id", "doc_id", "text", part.alias("part"), F.lit(False).alias("copy"))
+    copies = docs.join(F.broadcast(borders), "id").select("id", "doc_id", "text", "part", F.lit(True).alias("copy"))
+    ordered = placed.unionByName(copies).repartition(2 * parts, "part").sortWithinPartitions("part", "copy", F.desc("id")).select("doc_id", "text", "part", "copy")
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "common_prefix"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
 

@@ -332,6 +332,44 @@ def test_fingerprints(docs, rows, none, spark):
     assert one.edited_sha256 == hashlib.sha256(b"abab").hexdigest() and one.near_next == 1
 
 
+@pytest.mark.parametrize(("most_cuts", "some"), [(4096, [None, None, None, 7, 7, 7]), (3, [None, None, None, 7, 7, 7]), (3, [None]), (4096, [None, (1 << 63) - 1])])
+def test_fingerprints_shared_ids(spark, most_cuts, some):
+    """Rows that share a doc_id or have none, dense and sparse ids; likeness against the span sets themselves."""
+    rng = random.Random(17)
+    rows = [(i, "".join(rng.choice("abc d") for _ in range(rng.randint(0, 90)))) for i in [*range(60), 10**15, -(10**12), *some]]
+    frame = spark.createDataFrame([(i, t, "p", 1, True) for i, t in rows], "doc_id long, text string, part string, id long, copy boolean").repartition(4)
+    got = sorted(((r.doc_id, r.edited_sha256, r.near_next) for r in fingerprints.edited_fingerprints(frame, most_cuts).collect()), key=repr)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+    want = []
+
+    def hashes(text):
+        return set(fingerprints.PrefixHash(fingerprints.code_points(text), fingerprints.Powers()).least().tolist())
+
+    for k, (i, text) in enumerate(ordered):
+        following = ordered[(k + 1) % len(ordered)][1]
+        half = len(text) // 2
+        x, y = hashes(text), hashes(following)
+        both = sorted(x | y)[: fingerprints.KEEP]
+        near = 1.0 if text == following else sum(h in x and h in y for h in both) / len(both) if x and y else 0.0
+        want.append((i, hashlib.sha256((text[: len(text) - half] + following[:half]).encode()).hexdigest(), near))
+    assert got == sorted(want, key=repr)
+
+
+def test_likeness_estimates_jaccard():
+    """near_edited and near_next are near the Jaccard similarity of the sets of 16-character spans."""
+    rng = random.Random(18)
+    powers = fingerprints.Powers()
+    wrong = []
+    for _ in range(60):
+        text = "".join(rng.choice("abcdefgh ") for _ in range(600))
+        cut = rng.randrange(600)
+        other = text[:cut] + "".join(rng.choice("abcdefgh ") for _ in range(600 - cut))
+        x, y = ({t[k : k + 16] for k in range(len(t) - 15)} for t in (text, other))
+        a, b = (fingerprints.PrefixHash(fingerprints.code_points(t), powers).fingerprint() for t in (text, other))
+        wrong.append(fingerprints.likeness(a, b) - len(x & y) / len(x | y))
+    assert abs(sum(wrong) / len(wrong)) < 0.03 and max(map(abs, wrong)) < 0.35
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="abé", max_size=60), st.text(alphabet="abé", max_size=60), st.data())
 def test_prefix_hash(x, y, data):
