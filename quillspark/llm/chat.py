@@ -10,7 +10,9 @@ after its first character, as does a backslash, so no text can hold a control st
 
 Turns are ordered by turn (null last), then role and text. A task streams its conversations one after another and holds
 the formatted text of one. Defined results: null texts and roles are empty; rows with a null conv_id are one conversation;
-repeated rows are turns of their own; other columns are not read.
+repeated rows are turns of their own, and equal ones are interchangeable; texts of any length are formatted whole; an empty
+table gives an empty result; other columns are not read. By its nature the output grows with the square of a conversation's
+turns, as each example holds all turns before it.
 """
 
 from __future__ import annotations

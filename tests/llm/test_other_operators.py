@@ -164,29 +164,184 @@ def test_oracle(spark, name):
     assert sorted(map(repr, found.fetchall())) == sorted(repr(tuple(r)) for r in frame.select(*columns).collect())
 
 
+def plain_mix(rows, weights=(1, 2, 3), passes=3):
+    """Weighted fair queueing by the book: (times taken by row, targets by source). rows: (doc_id, size, source)."""
+    keys = sorted({r[2] for r in rows}, key=lambda x: (x is None, (x or "").encode()))
+    size = {k: sum(r[1] for r in rows if r[2] == k) for k in keys}
+    weight = {k: weights[n % len(weights)] for n, k in enumerate(keys)}
+    budget, target, open_ = sum(size.values()), {}, set(keys)
+    while open_:
+        left = budget - sum(target.values())
+        level = left / sum(weight[k] for k in open_)
+        over = [k for k in open_ if level * weight[k] > passes * size[k]]
+        if not over:
+            target |= {k: level * weight[k] for k in open_}
+            break
+        for k in over:
+            target[k] = passes * size[k]
+        open_ -= set(over)
+    queue = []
+    for n, k in enumerate(keys):
+        upto = 0
+        own = [(hashlib.md5((str(r[0]) if r[0] is not None else "").encode()).hexdigest(), r[0] is not None, r[0] or 0, r[1], at) for at, r in enumerate(rows) if r[2] == k]
+        for *_, words, at in sorted(own):
+            upto += words
+            if words:
+                queue += [((upto + e * size[k]) / target[k], n, upto + e * size[k], words, at) for e in range(passes)]
+    taken, total = [0] * len(rows), 0
+    for _, _, _, words, at in sorted(queue):
+        if total + words > budget:
+            break
+        taken[at] += 1
+        total += words
+    return taken, target
+
+
+def check_packed(got, texts, capacity=1024):
+    """got: rows of packed pieces; texts: (doc_id, text), ids not repeated."""
+    import zlib
+
+    from tokenizers import Tokenizer
+
+    from quillspark.llm import packing
+
+    plain = Tokenizer.from_file(packing.public_paths()[0])
+    by_doc, places = {}, {}
+    for r in got:
+        by_doc.setdefault(r.doc_id, []).append(r)
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert set(by_doc) == {i for i, _ in texts}
+    total = 0
+    for i, text in texts:
+        ids = [*plain.encode(text or "", add_special_tokens=False).ids, 2]
+        total += len(ids)
+        at = 0
+        for n, r in enumerate(sorted(by_doc[i], key=lambda r: r.piece)):
+            assert (r.piece, r.start, r.ids_crc32) == (n, at, zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()))
+            at += r.length
+        assert at == len(ids) and len(by_doc[i]) == -(-len(ids) // capacity)
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert len(places) <= 1.02 * -(-total // capacity) + 1
+
+
 def test_pipeline(spark):
+    """Each stage against a brute-force version, on what the stage before has left."""
     import corpus_pipeline
+    from test_text_operators import WORD, brute_components, brute_repeats, plain_toxicity, shingles
 
-    rng = random.Random(3)
-    folder = FOLDER
-    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    from quillspark.llm import toxicity
+
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
     columns = docs.columns
     for name, stage in corpus_pipeline.STAGES:
         before = docs
-        docs = stage(spark, docs, folder).cache()
+        rows = [(r.doc_id, r.text, r.source) for r in before.select("doc_id", "text", "source").collect()]
+        docs = stage(spark, docs, FOLDER).cache()
+        got = docs.collect()
         if name != "packing":
             assert docs.columns == columns and docs.dtypes == before.dtypes
+        if name == "toxicity":
+            lexicon = toxicity.learn(before, queries.labelled(spark, FOLDER, "toxic", 5, 0))
+            assert sorted(r.doc_id for r in got) == sorted(i for i, t, _ in rows if plain_toxicity(lexicon, t) < 0.5)
+            assert len(got) < len(rows)
         if name == "ngram_jaccard":
-            from test_text_operators import brute_components, shingles
-
-            rows = {r.doc_id: r.text for r in before.select("doc_id", "text").collect()}
-            want = brute_components({i: shingles(t) for i, t in rows.items()})
-            assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == sorted(i for i in rows if want[i] == i)
+            want = brute_components({i: shingles(t) for i, t, _ in rows})
+            assert sorted(r.doc_id for r in got) == sorted(i for i, *_ in rows if want[i] == i)
         if name == "suffix_dedup":
-            from test_text_operators import brute_repeats
-
-            rows = [(r.doc_id, r.text) for r in before.select("doc_id", "text").collect()]
-            want = brute_repeats(rows)
-            assert {r.doc_id: r.text for r in docs.collect()} == {i: want[i][3].decode("utf-8", "ignore") if want[i][1] else t for i, t in rows}
-    assert docs.filter("offset + length > 1024").count() == 0
-    assert rng
+            want = brute_repeats([(i, t) for i, t, _ in rows])
+            assert {r.doc_id: r.text for r in got} == {i: want[i][3].decode("utf-8", "ignore") if want[i][1] else t for i, t, _ in rows}
+        if name == "mixing":
+            taken, _ = plain_mix([(i, len(WORD.findall(t or "")), s) for i, t, s in rows])
+            assert sorted((r.doc_id, r.text) for r in got) == sorted((i, t) for (i, t, _), n in zip(rows, taken, strict=True) for _ in range(n))
+        if name == "packing":
+            once = {}
+            for i, t, _ in rows:
+                once[i] = (t, once.get(i, (t, 0))[1] + 1)
+            pieces = {}
+            for r in got:
+                pieces.setdefault((r.doc_id, r.piece), []).append(r)
+            assert all(len(rs) == once[i][1] for (i, _), rs in pieces.items())
+            assert docs.filter("offset + length > 1024").count() == 0
+    # The last stage again on documents without repetition.
+    single = before.dropDuplicates(["doc_id"])
+    check_packed(corpus_pipeline.packed(spark, single, FOLDER).collect(), [(r.doc_id, r.text) for r in single.select("doc_id", "text").collect()])
+
+
+AWKWARD = "doc_id long, text string, source string, n_chars long, _id long, _runs string, _copies int, row_id string, copies int, text_ string, id int, runs int, score double, label int, key string, t string, v long, sequence_id long"
+
+
+def test_pipeline_awkward_rows(spark):
+    """Stages over shared and missing ids, nulls, empty texts, repeated rows, long texts and columns named like the stages' own."""
+    import corpus_pipeline
+    from test_text_operators import WORD
+
+    rng = random.Random(19)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    passage = fresh(40)
+    texts = [(1, fresh(50), "a"), (1, fresh(60) + " " + passage, "a"), (1, fresh(30), "b"), (None, fresh(40), None), (None, passage + " " + fresh(20), "a"), (None, None, "b"), (2, None, "a"), (3, "", None), (4, fresh(20_000), "c"), (5, fresh(80), "b"), (5, fresh(80), "b")]
+    texts += [(6, fresh(9), "a")] * 3
+    docs = spark.createDataFrame([(i, t, s, None, 1, "r", 2, "x", 3, "y", 4, 5, 0.5, 1, "k", "t", 6, 7) for i, t, s in texts], AWKWARD).repartition(3)
+    for empty in (docs.limit(0), spark.createDataFrame([], AWKWARD)):
+        for name, stage in corpus_pipeline.STAGES:
+            assert stage(spark, empty, FOLDER).count() == 0, name
+    kept = corpus_pipeline.without_toxic(spark, docs, FOLDER)
+    assert kept.columns == docs.columns and kept.count() == len(texts)
+    kept = corpus_pipeline.without_near_copies(spark, docs, FOLDER)
+    assert kept.columns == docs.columns and kept.count() == len(texts) - 2
+    cut = corpus_pipeline.without_repeated_passages(spark, docs, FOLDER)
+    assert cut.columns == docs.columns and cut.count() == len(texts)
+    lost = {(r.doc_id, len(r.text or "")) for r in cut.collect()} - {(i, len(t or "")) for i, t, _ in texts}
+    assert len(lost) == 1 and next(iter(lost))[0] is None  # only the later row with the passage lost it
+    mixed = corpus_pipeline.mixed(spark, docs, FOLDER)
+    sizes = [(i, len(WORD.findall(t or "")), s) for i, t, s in texts]
+    taken, _ = plain_mix(sizes)
+    words = sum(len(WORD.findall(r.text)) for r in mixed.select("text").collect())
+    assert mixed.columns == docs.columns and words == sum(n * size for n, (_, size, _) in zip(taken, sizes, strict=True)) <= sum(s[1] for s in sizes)
+    check = [(k, t) for k, (_, t, _) in enumerate(texts)]
+    numbered = spark.createDataFrame([(k, t, 1, 2) for k, t in check], "doc_id long, text string, sequence_id long, rank long")
+    check_packed(corpus_pipeline.packed(spark, numbered, FOLDER).collect(), check)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mixing_by_the_book(spark, seed):
+    from quillspark.llm import mixing
+
+    rng = random.Random(seed)
+    rows = [(rng.choice([None, k, 7]) if k % 5 == 0 else k, rng.choice([0, 1, 3, 40, 900]), rng.choice([None, "a", "B", "é", "z", f"own{k}"])) for k in range(80)]
+    frame = spark.createDataFrame([(i, "w " * n if n else rng.choice([None, "", "\t "]), s, k) for k, (i, n, s) in enumerate(rows)], "doc_id long, text string, source string, key long").repartition(3)
+    got = {r.key: r for r in mixing.mix(frame, keep=("key",)).collect()}
+    taken, target = plain_mix(rows)
+    assert all(got[k]["size"] == n and got[k].target == pytest.approx(target[s]) for k, (_, n, s) in enumerate(rows))
+    # Rows of one doc_id and size are interchangeable.
+    group = lambda counts: sorted((repr(rows[k]), n) for k, n in counts)
+    assert group((k, r.copies) for k, r in got.items()) == group(enumerate(taken))
+
+
+def test_executors_without_the_package(tmp_path):
+    """Workers that can't import this package still run op2 and op9."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+import __spark_entry__
+queries = __spark_entry__.queries()
+sys.path.remove({root!r})
+print("rows", [queries[n](spark, {FOLDER!r}).count() for n in ("op2_quality", "op9_langid")])
+queries["op2_quality"](spark, {FOLDER!r}).write.format("noop").mode("overwrite").save()
+queries["op9_langid"](spark, {FOLDER!r}).write.format("noop").mode("overwrite").save()
+print("done")
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600, check=False)
+    assert "done" in ran.stdout, ran.stderr[-2000:]
