@@ -48,7 +48,8 @@ class Shingler:
         words, w = np.concatenate(hashed) if hashed else np.empty(0, np.uint64), self.width
         runs = np.zeros(max(0, len(words) - w + 1), np.uint64)
         for k in range(w):
-            runs = mixed(runs * np.uint64(_BASE) + words[k : k + len(runs)])
+            runs = runs * np.uint64(_BASE) + words[k : k + len(runs)]
+        runs = mixed(runs)
         out, a = [], 0
         for n in lengths:
             if n >= w:
