@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.base import drop_materialized, materialize, range_prefix
+from quillspark.llm.shingles import mixed
 
 END_OF_TEXT = b"<|endoftext|>"
 
@@ -38,9 +39,11 @@ class ByteBpe:
     """Token ids of the byte-level BPE in a tokenizers file, for many texts at once.
 
     Its pre-tokens start before each space that no white space follows, so a text's ids are those of the parts between
-    such spaces. Parts recur: only those whose bytes are not known yet are encoded, joined into one string. ranks: the
-    same vocabulary as tiktoken ranks, which encode faster. Texts that hold the special token's string, and texts over
-    ``block`` bytes, go to the encoder whole; the ids are the same either way.
+    such spaces. Parts recur: a block's parts are told apart by a 64-bit hash from prefix sums and only those not known yet
+    are encoded, joined into one string. Every part's bytes are then compared with those that its hash stands for, and
+    the few that differ are encoded by themselves. ranks: the same vocabulary as tiktoken ranks, which encode faster.
+    Texts that hold the special token's string, and texts over ``block`` bytes, go to the encoder whole; the ids are the
+    same either way.
     """
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None, block: int = 1 << 20, memory: int = 500_000):
@@ -63,6 +66,11 @@ class ByteBpe:
             for token, rank in self.special.get_vocab().items():
                 size[rank] = len(token)  # byte-level: a character for each byte
         self.size = size
+        rng = np.random.default_rng(7)
+        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
+        base, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+        self.powers, self.inverse = (np.cumprod(np.append(np.uint64(1), np.full(block, x, np.uint64)), dtype=np.uint64) for x in (base, inverse))
+        self.numbers = np.arange(block, dtype=np.int32)
         # What may follow a space that starts a part: not white space, nor a byte that starts a white-space character.
         self.starts = np.ones(256, bool)
         self.starts[[*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3]] = False
@@ -71,9 +79,10 @@ class ByteBpe:
     def forget(self) -> None:
         import numpy as np
 
-        self.known: dict[bytes, int] = {}  # a part -> its number
-        self.held = 0
-        self.first, self.count, self.pool = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.keys = np.empty(0, np.uint64)
+        #: By key: where its part's ids and bytes begin, and how many there are.
+        self.first, self.count, self.begin, self.length = (np.empty(0, np.int64) for _ in range(4))
+        self.pool, self.bytes = np.empty(0, np.uint32), np.empty(0, np.uint8)
 
     def batch(self, texts: Iterable[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit bytes."""
@@ -114,38 +123,64 @@ class ByteBpe:
         opens[doc_starts[doc_starts < len(data)]] = True
         at = np.flatnonzero(opens)
         ends = np.append(at[1:], len(data))
-        parts = [raw[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
-        new = list({part: None for part in parts if part not in self.known})
-        if new:
-            self._learn(new)
-        index = np.fromiter(map(self.known.__getitem__, parts), np.int64, len(parts))
-        first, count = self.first[index], self.count[index]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.value[data] * self.powers[: len(data)], dtype=np.uint64)])
+        keys = mixed((sums[ends] - sums[at]) * self.inverse[at] ^ (ends - at).astype(np.uint64))
+        found, index, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        place = np.searchsorted(self.keys, found)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == found[known]
+        if not known.all():
+            self._learn(raw, found[~known], at[index[~known]], ends[index[~known]])
+            place = np.searchsorted(self.keys, found)
+        number = place[inverse]
+        first, count = self.first[number], self.count[number]
+        place = np.repeat((self.begin[number] - at).astype(np.int32), ends - at)  # of the byte that a byte is compared with
+        place += self.numbers[: len(data)]
+        differ = np.flatnonzero(self.bytes.take(place, mode="clip") != data)
+        wrong = np.union1d(np.searchsorted(at, differ, side="right") - 1, np.flatnonzero(self.length[number] != ends - at))
+        pool = self.pool
+        if len(wrong):  # another part has the same hash
+            own = [np.array(self.encode(raw[a:b].decode()), np.uint32) for a, b in zip(at[wrong].tolist(), ends[wrong].tolist(), strict=True)]
+            count[wrong] = [len(x) for x in own]
+            first[wrong] = len(pool) + np.cumsum(count[wrong]) - count[wrong]
+            pool = np.concatenate([pool, *own])
         done = np.cumsum(count)
-        ids = self.pool[np.repeat(first - (done - count), count) + np.arange(done[-1])].astype("<u4")
+        ids = pool[np.repeat(first - (done - count), count) + np.arange(done[-1])].astype("<u4")
         per_part = np.append(0, done)
         from_, to = per_part[np.searchsorted(at, doc_starts)], per_part[np.searchsorted(at, doc_starts + lengths)]
         whole = ids.tobytes()
-        if len(self.known) > self.memory or self.held > 64 << 20:
+        if len(self.keys) > self.memory or len(self.bytes) > 32 << 20:
             self.forget()
         for a, b in zip(from_.tolist(), to.tolist(), strict=True):
             yield whole[4 * a : 4 * b]
 
-    def _learn(self, new: list[bytes]) -> None:
+    def _learn(self, raw: bytes, keys, at, ends) -> None:
         import numpy as np
 
-        spaced = [part for part in new if part[0] == 32]
-        ids = np.array(self.encode(b"".join(spaced).decode()), np.uint32)
+        spaced = np.frombuffer(raw, np.uint8)[at] == 32
+        order = np.argsort(~spaced, kind="stable")  # parts that start with a space first
+        keys, at, ends, together = keys[order], at[order], ends[order], int(spaced.sum())
+        parts = [raw[a:b] for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+        ids = np.array(self.encode(b"".join(parts[:together]).decode()), np.uint32)
         reach = np.append(0, np.cumsum(self.size[ids]))
-        bound = np.searchsorted(reach, np.append(0, np.cumsum([len(p) for p in spaced])))
-        assert not spaced or reach[-1] == sum(map(len, spaced))
-        others = [part for part in new if part[0] != 32]
-        found = [np.array(self.encode(part.decode()), np.uint32) for part in others]
-        sizes = np.array([len(x) for x in found], np.int64)
-        self.known.update(zip(spaced + others, range(len(self.known), len(self.known) + len(new)), strict=True))
-        self.held += sum(map(len, new))
-        first = np.concatenate([bound[:-1], len(ids) + np.cumsum(sizes) - sizes]) + len(self.pool)
-        self.first, self.count = np.concatenate([self.first, first]), np.concatenate([self.count, np.diff(bound), sizes])
-        self.pool = np.concatenate([self.pool, ids, *found])
+        bound = np.searchsorted(reach, np.append(0, np.cumsum([len(p) for p in parts[:together]])))
+        assert not together or reach[-1] == sum(map(len, parts[:together]))
+        others = [np.array(self.encode(part.decode()), np.uint32) for part in parts[together:]]
+        sizes = np.array([len(x) for x in others], np.int64)
+        length = ends - at
+        columns = {
+            "first": np.concatenate([bound[:-1], len(ids) + np.cumsum(sizes) - sizes]) + len(self.pool),
+            "count": np.concatenate([np.diff(bound), sizes]),
+            "begin": np.cumsum(length) - length + len(self.bytes),
+            "length": length,
+        }
+        self.pool = np.concatenate([self.pool, ids, *others])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(parts), np.uint8)])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        for name, values in columns.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values])[order])
 
 
 def tokenized(docs: DataFrame, capacity: int = 1024, end_id: int = 2, paths: tuple[str, str | None, str | None] | None = None, with_ids: bool = False) -> DataFrame:
