@@ -3,7 +3,8 @@
 1. Equal vectors form a class; the smallest vec_id stands for it, with the number of its members (a grouped aggregate).
 2. Centres are fitted by spherical k-means on a bounded sample (``fit_rows`` classes, by a hash of vec_id). Every class goes
    to the shards of its ``overlap`` nearest centres. A shard of more than ``split_rows`` rows gets centres of its own, fitted
-   on a bounded sample of its rows in a task, and its classes go to the nearest two, and so on; one of more than
+   on a bounded sample of its rows in a task, and its classes go to the nearest two, and so on. Cells between which half of
+   the sample's pairs link stay together: they are a dense ball that centres would divide at random. A shard of more than
    ``shard_rows`` is dealt into parts, and each pair of parts becomes a shard, so that no task holds more than twice that.
 3. In a shard each vector's candidates, its nearest neighbours and some at growing ranks, are pruned robustly: a candidate is
    dropped if a kept neighbour is closer to it, by the factor ``alpha``, than the vector itself. The adjacency lists of a
@@ -15,8 +16,8 @@
 5. Pairs found are verified by cosine in double precision. Those that share a shard are counted in the first that both share;
    others, found over the rim, where a vector is at home. A shard returns counts and, for components, one link to the
    smallest member of each group, not all pairs.
-6. Recall is audited twice. In a shard, the links of a few vectors are compared with products of rows; where one is missing
-   (as in dense groups whose links outnumber the lists), the shard's pairs are taken from such products. Over the whole table,
+6. Recall is audited twice. In a shard, the links of a few vectors are compared with products of rows; where one is missing,
+   or where they outnumber the lists (as in dense balls), the shard's pairs are taken from such products. Over the whole table,
    the links of a sample are compared with brute force over all vectors. The sample grows from ``audit_rows`` vectors until
    ``audit_links`` of its vectors have links. Where its recall, over links and as the mean of its linked vectors, is below
    ``least_recall``, everything is done again with two more shards for each vector.
@@ -76,6 +77,21 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.nda
     return centres
 
 
+def joined_cells(x: np.ndarray, centres: np.ndarray, threshold: float, most: int = 8000) -> np.ndarray:
+    """For each centre the smallest of its group: cells of which half of the pairs of vectors between them link are one dense
+    ball that the centres divide at random, and stay together. x: a sample, of which ``most`` rows are looked at."""
+    x = x[:most]
+    own = np.argmax(x @ centres.T, 1)
+    sizes = np.bincount(own, minlength=len(centres))
+    links = np.zeros((len(centres), len(centres)), np.int64)
+    for a in range(0, len(x), 1000):
+        i, j = np.nonzero(x[a : a + 1000] @ x.T >= threshold)
+        np.add.at(links, (own[i + a], own[j]), 1)
+    pairs = sizes[:, None] * sizes[None, :]
+    left, right = np.nonzero((2 * links >= pairs) & (pairs >= 16))
+    return _labels(len(centres), left, right)
+
+
 def robust_prune(near: np.ndarray, sims: np.ndarray, x: np.ndarray, degree: int, alpha: float) -> list[int]:
     """The neighbours kept for one vector. near: candidates in descending order of sims, their cosines with it."""
     kept: list[int] = []
@@ -167,12 +183,12 @@ class Shard:
                 found = np.concatenate([found, front])
             yield found[found != q]
 
-    def complete(self, found: dict[int, np.ndarray], threshold: float, rows: int = 32) -> bool:
-        """Whether the links found for some members, spread over all, are those that products of rows give."""
+    def sample_links(self, threshold: float, rows: int = 32) -> dict[int, np.ndarray]:
+        """The links of some members, spread over all, by products of rows."""
         some = self.members[np.unique(np.linspace(0, len(self.members) - 1, min(rows, len(self.members))).astype(np.int64))]
         near = self.x[some] @ self.x.T >= threshold + 1e-9
         near[np.arange(len(some)), some] = False
-        return all(np.isin(np.flatnonzero(row), found[q]).all() for q, row in zip(some.tolist(), near, strict=True))
+        return {q: np.flatnonzero(row) for q, row in zip(some.tolist(), near, strict=True)}
 
     def pairs(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
         """All pairs of local numbers (smaller, larger) with a cosine of at least ``threshold``, by products of blocks of rows."""
@@ -226,7 +242,7 @@ def _nearest(raw: list[bytes], centres: dict[int, np.ndarray], take: int) -> lis
     return out
 
 
-def _split(cells: DataFrame, sizes: DataFrame, split_rows: int, shard_rows: int, most: int = 256) -> DataFrame:
+def _split(cells: DataFrame, sizes: DataFrame, split_rows: int, shard_rows: int, threshold: float, most: int = 256) -> DataFrame:
     """cells (cell, rep, weight, v) of which those of more than split_rows rows (sizes: cell, n) are divided among centres of their own."""
     big = sizes.filter(F.col("n") > split_rows).withColumn("k", F.least(F.lit(most), F.ceil(4 * F.col("n") / shard_rows)).cast("int"))
     held = cells.join(big, "cell")
@@ -235,51 +251,58 @@ def _split(cells: DataFrame, sizes: DataFrame, split_rows: int, shard_rows: int,
         for rows in _by_shard(batches):
             table = pa.Table.from_batches(rows)
             x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(table.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([table.column("cell").slice(0, 1).combine_chunks(), pa.array([fit_centres(x, table.column("k")[0].as_py()).tobytes()], pa.binary())], ["cell", "centres"])
+            centres = fit_centres(x, table.column("k")[0].as_py())
+            groups = joined_cells(x, centres, threshold).tolist()
+            yield pa.RecordBatch.from_arrays([table.column("cell").slice(0, 1).combine_chunks(), pa.array([centres.tobytes()], pa.binary()), pa.array([groups], pa.list_(pa.int64()))], ["cell", "centres", "groups"])
 
     # About 8 rows for each centre, by a hash of vec_id.
     sample = held.filter(F.pmod(F.xxhash64("rep", F.lit(2)), F.greatest(F.lit(1), F.floor(F.col("n") / (8 * F.col("k"))).cast("long"))) == 0)
-    centres = materialize(sample.select("cell", "v", "k", F.xxhash64("rep").alias("h")).repartition("cell").sortWithinPartitions("cell", "h").mapInArrow(fit, "cell string, centres binary"))
+    centres = materialize(sample.select("cell", "v", "k", F.xxhash64("rep").alias("h")).repartition("cell").sortWithinPartitions("cell", "h").mapInArrow(fit, "cell string, centres binary, groups array<long>"))
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cells_, reps, weights, vectors, packed = (batch.column(k).to_pylist() for k in range(5))
+            cells_, reps, weights, vectors, packed, groups = (batch.column(k).to_pylist() for k in range(6))
             out, at = [], {}
             for n, cell in enumerate(cells_):
                 at.setdefault(cell, []).append(n)
             for cell, rows in at.items():
                 w = len(vectors[rows[0]])
                 near = _nearest([vectors[n] for n in rows], {w: np.frombuffer(packed[rows[0]], np.float64).reshape(-1, w // 8)}, 2)
-                out += [(f"{cell}.{c}", reps[n], weights[n], vectors[n]) for n, own in zip(rows, near, strict=True) for c in own]
+                out += [(f"{cell}.{c}", reps[n], weights[n], vectors[n]) for n, own in zip(rows, near, strict=True) for c in sorted({groups[rows[0]][c] for c in own})]
             columns = zip(*out, strict=True) if out else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.string(), pa.int64(), pa.int64(), pa.binary()], strict=True)], ["cell", "rep", "weight", "v"])
 
-    parts = cells.join(centres, "cell").select("cell", "rep", "weight", "v", "centres").mapInArrow(assign, "cell string, rep long, weight long, v binary")
+    parts = cells.join(centres, "cell").select("cell", "rep", "weight", "v", "centres", "groups").mapInArrow(assign, "cell string, rep long, weight long, v binary")
     return materialize(cells.join(centres.select("cell"), "cell", "left_anti").unionByName(parts))
 
 
-def _shards(classes: DataFrame, overlap: int, shard_rows: int, fit_rows: int, split_rows: int, levels: int = 4) -> DataFrame:
+def _shards(classes: DataFrame, overlap: int, shard_rows: int, fit_rows: int, split_rows: int, threshold: float, levels: int = 4) -> DataFrame:
     """(shard, shards, rep, weight, v): each class in each of its shards."""
     spark = classes.sparkSession
     total = classes.count()
     k = -(-2 * total * overlap // max(1, shard_rows)) if total > shard_rows else 1  # shards of half that size on average
     sample = classes.orderBy(F.xxhash64("rep")).limit(min(total, fit_rows)).select("v").toPandas()["v"] if k > 1 else []
     widths = {len(v) for v in sample}
-    centres = {w: fit_centres(np.frombuffer(b"".join(v for v in sample if len(v) == w), np.float64).reshape(-1, w // 8), min(k, fit_rows // 8)) for w in widths}
-    shared = spark.sparkContext.broadcast(centres)  # at most fit_rows / 8 centres; larger shards get centres of their own
+    samples = {w: np.frombuffer(b"".join(v for v in sample if len(v) == w), np.float64).reshape(-1, w // 8) for w in widths}
+    centres = {w: fit_centres(x, min(k, fit_rows // 8)) for w, x in samples.items()}
+    groups = {w: joined_cells(x, centres[w], threshold).tolist() for w, x in samples.items()}
+    shared = spark.sparkContext.broadcast((centres, groups))  # at most fit_rows / 8 centres; larger shards get centres of their own
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = batch.column(2).to_pylist()
-            names = [[f"{len(v)}-{c}" for c in own] for v, own in zip(raw, _nearest(raw, shared.value, overlap), strict=True)]
+            centres, groups = shared.value
+            names = [[f"{len(v)}-{c}" for c in sorted({groups[len(v)][c] if len(v) in groups else c for c in own})] for v, own in zip(raw, _nearest(raw, centres, overlap), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.list_(pa.string())), *batch.columns], ["cells", "rep", "weight", "v"])
 
     cells = materialize(classes.select("rep", "weight", "v").mapInArrow(assign, "cells array<string>, rep long, weight long, v binary").select(F.explode("cells").alias("cell"), "rep", "weight", "v"))
+    largest = None
     for _ in range(levels):
         sizes = materialize(cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")))
-        if sizes.filter(F.col("n") > split_rows).isEmpty():
+        now = sizes.agg(F.max("n")).first()[0] or 0
+        if now <= split_rows or now == largest:
             break
-        cells, before = _split(cells, sizes, split_rows, shard_rows), cells
+        cells, before, largest = _split(cells, sizes, split_rows, shard_rows, threshold), cells, now
         drop_materialized(before)
     # What is still above the size, as a dense ball that no centres divide, is dealt into pairs of parts.
     sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("parts"))
@@ -305,7 +328,7 @@ def _labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
 def _find(classes: DataFrame, threshold: float, overlap: int, shard_rows: int, fit_rows: int, split_rows: int, candidates: int, degree: int, alpha: float) -> DataFrame:
     """(rep, n_links, other): for each class and shard the links counted there (members), and the smallest member of its group."""
     parts, reach = 2 * shuffle_partitions(classes.sparkSession), threshold - 0.04
-    sharded = materialize(_shards(classes, overlap, shard_rows, fit_rows, split_rows).repartition(parts, "shard").sortWithinPartitions("shard"))
+    sharded = materialize(_shards(classes, overlap, shard_rows, fit_rows, split_rows, threshold).repartition(parts, "shard").sortWithinPartitions("shard"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _by_shard(batches):
@@ -344,32 +367,37 @@ def _find(classes: DataFrame, threshold: float, overlap: int, shard_rows: int, f
             bounds = np.searchsorted(edges, np.arange(n + 1) * n)
             lists = [edges[bounds[k] : bounds[k + 1]] - k * n for k in range(n)]
             shard = Shard(ids, x, np.flatnonzero(~outside))
-            found = dict(zip(shard.members.tolist(), shard.search(lists, reach), strict=True))
-            left = np.repeat(shard.members, [len(f) for f in found.values()])
-            right = np.concatenate(list(found.values()))
-            if shard.complete(found, threshold):
+            known = shard.sample_links(threshold)
+            # Where links outnumber a vector's list, as in a dense ball, a search would have to pass through all of them.
+            searched = np.mean([len(f) for f in known.values()]) <= degree
+            found = dict(zip(shard.members.tolist(), shard.search(lists, reach), strict=True)) if searched else {}
+            if searched and all(np.isin(links, found[q]).all() for q, links in known.items()):
+                left = np.repeat(shard.members, [len(f) for f in found.values()])
+                right = np.concatenate(list(found.values()))
                 pairs = np.unique(np.minimum(left, right) * n + np.maximum(left, right))
                 left, right = pairs // n, pairs % n
                 real = np.einsum("ij,ij->i", x[left], x[right]) >= threshold
                 left, right = left[real], right[real]
-            else:  # the audit missed links: the lists hold too few neighbours, as in a dense group
+            else:  # the audit missed links, or there are more than lists hold
                 left, right = shard.pairs(threshold)
                 inside = ~(outside[left] & outside[right])
                 left, right = left[inside], right[inside]
             label = _labels(n, left, right)
             # Counted where the two meet first, and where a vector is at home if they meet nowhere, so that no pair counts twice.
+            numbers = {s: k for k, s in enumerate(sorted({s for own in shards for s in own}))}
+            held = np.full((n, max(map(len, shards))), len(numbers))
+            for k, own in enumerate(shards):
+                held[k, : len(own)] = [numbers[s] for s in own]
+            home, here = held[:, 0] == numbers[name], numbers[name]
             count = np.zeros(n, np.int64)
-            sets = list(map(set, shards))
-            for a, b in zip(left.tolist(), right.tolist(), strict=True):
-                if both := sets[a] & sets[b]:
-                    if min(both) == name:
-                        count[a] += weight[b]
-                        count[b] += weight[a]
-                else:
-                    if shards[a][0] == name:
-                        count[a] += weight[b]
-                    if shards[b][0] == name:
-                        count[b] += weight[a]
+            step = max(1, 4_000_000 // held.shape[1] ** 2)
+            for a in range(0, len(left), step):
+                i, j = left[a : a + step], right[a : a + step]
+                both = (held[i][:, :, None] == held[j][:, None, :]) & (held[i] < len(numbers))[:, :, None]
+                meet = np.where(both, held[i][:, :, None], len(numbers)).min((1, 2))  # the first shard that both share
+                for p, q in ((i, j), (j, i)):
+                    counts = (meet == here) | (meet == len(numbers)) & home[p]
+                    count += np.bincount(p[counts], weight[q[counts]], n).astype(np.int64)
             linked = np.flatnonzero((count > 0) | (label != np.arange(n)))
             yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(count[linked]), pa.array(ids[label[linked]])], ["rep", "n_links", "other"])
 

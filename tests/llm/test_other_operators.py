@@ -98,17 +98,35 @@ def test_embeddings_search_that_misses(spark, monkeypatch):
         return (found if self.ids[0] % 2 else found[:0] for found in whole(self, lists, reach, width))
 
     monkeypatch.setattr(embed_graph.Shard, "search", search)
-    x = clumps(groups=8, size=12)
+    rng = np.random.default_rng(12)
+    x = np.concatenate([c + 0.02 * rng.normal(size=(4, 64)) for c in rng.normal(size=(30, 64))])
     classes = as_classes(spark, x)
     held = {}
-    for r in embed_graph._shards(classes, 3, 30, 20_000, 240).select("shard", "rep").collect():
+    for r in embed_graph._shards(classes, 3, 30, 20_000, 240, 0.9).select("shard", "rep").collect():
         held.setdefault(r.rep, set()).add(r.shard)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.9
     least = {a: sum(bool(near[a, b] and held[a] & held[b]) for b in held if a != b) for a in held}
     found = embed_graph._find(classes, 0.9, 3, 30, 20_000, 240, 48, 16, 1.2)
     got = {r.rep: r.n for r in found.groupBy("rep").agg({"n_links": "sum"}).withColumnRenamed("sum(n_links)", "n").collect()}
-    assert all(least[a] <= got[a] <= near[a].sum() - 1 for a in held) and sum(got.values()) > sum(least.values())
+    assert all(least[a] <= got.get(a, 0) <= near[a].sum() - 1 for a in held) and sum(got.values()) >= sum(least.values()) > 0
+
+
+def test_embeddings_dense_ball(spark):
+    """A ball of more vectors than a shard holds, all linked, loses no link; vectors around one direction that don't link stay apart."""
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=64)
+    ball = centre + 0.1 * rng.normal(size=(400, 64))
+    cone = 3 * rng.normal(size=64) + rng.normal(size=(300, 64)) * 2
+    x = np.concatenate([ball, cone, ball[:1]])
+    ids = list(range(len(x)))
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_graph.near_duplicates(frame, shard_rows=60, split_rows=120, fit_rows=400).collect()}
+    want = brute(ids, x)
+    assert got == want and want[0][0] == 400 and min(n for n, _ in want.values()) == 0
+    unit = cone / np.linalg.norm(cone, axis=1, keepdims=True)
+    centres = embed_graph.fit_centres(unit, 8)
+    assert embed_graph.joined_cells(unit, centres, 0.9).tolist() == list(range(8))
 
 
 def test_embeddings_levels_and_shared_ids(spark):
