@@ -194,11 +194,14 @@ class Shard:
         """All pairs of local numbers (smaller, larger) with a cosine of at least ``threshold``, by products of blocks of rows."""
         left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for a in range(0, len(self.x), 512):
-            i, j = np.nonzero(self.x[a : a + 512] @ self.x[a:].T >= threshold - 1e-9)
-            i, j = i[j > i] + a, j[j > i] + a
-            real = np.einsum("ij,ij->i", self.x[i], self.x[j]) >= threshold
-            left.append(i[real])
-            right.append(j[real])
+            sims = self.x[a : a + 512] @ self.x[a:].T
+            i, j = np.nonzero(sims >= threshold - 1e-9)
+            i, j = i[j > i], j[j > i]
+            real = sims[i, j] >= threshold + 1e-9
+            close = np.flatnonzero(~real)  # the order of a product's sums may tell
+            real[close] = np.einsum("ij,ij->i", self.x[i[close] + a], self.x[j[close] + a]) >= threshold
+            left.append(i[real] + a)
+            right.append(j[real] + a)
         return np.concatenate(left), np.concatenate(right)
 
 
