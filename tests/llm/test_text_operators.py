@@ -4,13 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm import fingerprints, jaccard, langid, mixing, packing, quality, suffix_dedup, toxicity
+from quillspark.llm import base, fingerprints, jaccard, langid, mixing, packing, quality, suffix_dedup, toxicity
 from quillspark.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n long, size long"
@@ -103,6 +104,61 @@ def test_jaccard_shared_ids(spark):
     assert got == sorted(want, key=repr)
 
 
+def shuffled(spark, run):
+    """What run returns, and the bytes that Spark shuffled for it."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    before = {stages().apply(k).stageId() for k in range(stages().size())}
+    found = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    after = stages()
+    return found, sum(after.apply(k).shuffleWriteBytes() for k in range(after.size()) if after.apply(k).stageId() not in before)
+
+
+def mostly_alone(spark):
+    """Long texts without copies, but for two pairs of near copies; their bytes."""
+    rng = random.Random(21)
+    texts = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20)) for _ in range(100)) for _ in range(600)]
+    texts += [texts[3] + " x", texts[4] + " y"]
+    return base.materialize(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), sum(map(len, texts))
+
+
+def test_jaccard_shuffles_needed_texts(spark):
+    """Texts without near copies stay where they are."""
+    docs, size = mostly_alone(spark)
+    got, moved = shuffled(spark, lambda: jaccard.similar_groups(docs).filter("doc_id <> component_id").collect())
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(600, 3, 1), (601, 4, 1)]
+    assert moved < 0.7 * size
+
+
+def test_shuffles_go_with_their_write(spark):
+    """Shuffle files of a result that has been written are gone, and the setting is as before."""
+    blocks = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    held = lambda: {b.toString() for b in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllBlocks()) if b.isShuffle()}
+    before, setting = held(), spark.conf.get(base.SHUFFLE_CLEANUP)
+    found = base.materialize(spark.range(1000).repartition(3, "id").groupBy("id").count())
+    until = time.time() + 20  # files go soon after the write
+    while held() - before and time.time() < until:
+        time.sleep(0.1)
+    assert not held() - before
+    assert found.count() == 1000 and spark.conf.get(base.SHUFFLE_CLEANUP) == setting
+
+
+def test_split_by_marks(spark):
+    """No id is ruled out wrongly, even where ids share all words; the other part holds nulls and most others."""
+    docs = spark.createDataFrame([(k, "t") for k in range(-2000, 2000)] + [(None, "t"), (7, "t")], "id long, mark_word string")
+    ids = docs.filter("id % 10 = 7").select("id")
+    for words in (1, 1 << 18):
+        may, rest = base.split_by_marks(docs, "id", ids, words)
+        may, rest = [r.id for r in may.collect()], [r.id for r in rest.collect()]
+        assert sorted(map(str, may + rest)) == sorted(str(r.id) for r in docs.collect()) and None in rest
+        assert {k for k in range(-2000, 2000) if k % 10 == 7 and k > 0} <= set(may) and not any(k is not None and k > 0 and k % 10 == 7 for k in rest)
+    assert len(may) < 500
+    may, rest = base.split_by_marks(docs, "id", ids.limit(0))
+    assert may.count() == 0 and rest.count() == docs.count()
+
+
 def test_jaccard_empty_and_repeated(spark, none, rows):
     assert jaccard.similar_groups(none).count() == 0
     twice = spark.createDataFrame([rows[1], rows[1], (None, "a b c d e f", None, None, None, 0, 0)], SCHEMA)
