@@ -290,6 +290,17 @@ def test_pipeline(spark):
     check_packed(corpus_pipeline.packed(spark, single, FOLDER).collect(), [(r.doc_id, r.text) for r in single.select("doc_id", "text").collect()])
 
 
+def test_pipeline_shuffles_doubtful_texts(spark):
+    """The stage of near copies shuffles no text that has none, and drops those that do."""
+    import corpus_pipeline
+    from test_text_operators import mostly_alone, shuffled
+
+    docs, size = mostly_alone(spark)
+    got, moved = shuffled(spark, lambda: corpus_pipeline.without_near_copies(spark, docs, FOLDER).collect())
+    assert sorted(r.doc_id for r in got) == list(range(600))
+    assert moved < 0.7 * size
+
+
 AWKWARD = "doc_id long, text string, source string, n_chars long, _id long, _runs string, _copies int, row_id string, copies int, text_ string, id int, runs int, score double, label int, key string, t string, v long, sequence_id long"
 
 
