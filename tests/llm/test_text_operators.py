@@ -595,6 +595,8 @@ def test_quality_work(monkeypatch):
     got = model.scores(texts, {})
     assert sum(read) <= sum(quality.spread([t]).total() for t in texts)
     assert got == pytest.approx([plain_quality(model, t) for t in texts], abs=1e-9)
+    monkeypatch.setattr(quality, "CUT", 50)  # texts are read in pieces
+    assert model.scores(["a a " * 60, *texts], {}) == pytest.approx([plain_quality(model, t) for t in ["a a " * 60, *texts]], abs=1e-9)
 
 
 def test_quality(spark):
